@@ -20,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_characters
 from .common import field_ddl, sliced, stored
 
 REMEMBERED = 800_000
 LONGEST_REMEMBERED = 256
 
+#: Letters before this one are in composed form and have lower-case letters of one character, or are told by isalpha().
+_LATIN_END = "\u0180"
 _MARKS = frozenset(".,;:!?")
 _TOKENIZERS: dict = {}
 
@@ -36,17 +39,22 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(content)
+        self.model = self.tokenizer.model
+        self.mapped = dict(enumerate(byte_characters()))
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and len(word) <= LONGEST_REMEMBERED:
-            # The tokenizer lower-cases, and splits letters from a mark after them.
-            if word[-1:] in _MARKS and word[-2:-1].isalpha():
-                ids = self[word[:-1]] + self[word[-1]]
-                self[word] = ids
-                return ids
+        if word and max(word) < _LATIN_END and len(word) <= LONGEST_REMEMBERED:
+            # The tokenizer splits letters from a mark after them, and lower-cases. A word of lower-case
+            # Latin letters is one pre-token, so its model can be asked at once.
             low = word.lower()
-            if low != word and "<|" not in word:
-                ids = self[low]
+            if word[-1] in _MARKS and word[-2:-1].lower().isalpha():
+                self[word] = ids = self[word[:-1]] + self[word[-1]]
+                return ids
+            if low.isalpha():
+                if low != word:
+                    ids = self[low]
+                else:
+                    ids = np.array([t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.mapped))], "<u4").tobytes()
                 self[word] = ids
                 return ids
         ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
