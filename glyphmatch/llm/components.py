@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,17 +53,20 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(first, "bucket").filter("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
 
 
-def crossing_pairs(buckets: DataFrame, components: DataFrame, facts: DataFrame, alike: object) -> DataFrame:
-    """(a, b) with a > b: members of a bucket that lie in different components and may be alike.
-
-    facts: a row per id with what `alike(left, right)` compares, itself a condition over two sides' columns. It is part of the join, so
-    pairs that it rejects are never made, and neither are those within one component.
-    """
+def mixed_buckets(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of `buckets` (bucket long, id long, and others), with their component, whose bucket holds several components."""
     labelled = buckets.join(components.select(F.col("node").alias("id"), "component"), "id", "left")
     labelled = stored(labelled.withColumn("component", F.coalesce("component", "id")), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    left_over = stored(labelled.join(mixed, "bucket", "left_semi").join(facts, "id"), "mixed")
-    x, y = left_over.alias("x"), left_over.alias("y")
+    return stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
+
+
+def crossing_pairs(members: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b) with a > b: members of a bucket that lie in different components and may be alike.
+
+    `alike(x, y)` is a condition over the columns of two sides and part of the join, so pairs that it rejects are never made, and
+    neither are those within one component.
+    """
+    x, y = members.alias("x"), members.alias("y")
     met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.id") > F.col("y.id"))
-    condition: Column = met & alike("x", "y")
-    return x.join(y, condition).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return x.join(y, met & alike("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

@@ -3,8 +3,8 @@
 A document's set holds its distinct shingles of `width` words (ASCII letters lower-cased; fewer words: the whole
 sequence). Documents with equal sets form a class at once. Class representatives get `rows * bands` minima of universal
 hashes; those that agree in all rows of a band share a bucket. Pairs are checked in two passes: first everyone in a bucket against its
-smallest member, then, between the components found so far, all pairs of a bucket whose one-bit signatures lie near enough.
-Each pair is confirmed on the full sets. A link at the threshold is missed by all bands with a probability below
+smallest member, by one-bit signatures; then, between the components found so far, all pairs of a bucket by sketches of `SKETCH` further minima, made only
+for the documents that are left. Each pair is confirmed on the full sets. A link at the threshold is missed by all bands with a probability below
 (1 - threshold ** rows) ** bands, 3e-7 for 0.85.
 
 Null and empty texts have no shingles, are linked with nothing and kept. Ids should be unique; rows with a
@@ -14,19 +14,21 @@ aren't read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sliced, stored
-from .components import connected_components, crossing_pairs, star_pairs
+from .components import connected_components, crossing_pairs, mixed_buckets, star_pairs
 
 BANDS, ROWS = 32, 6
-#: So many standard deviations may a pair's one-bit signature lie beyond what the threshold lets expect.
+#: Minima of the second pass, of each of which four bits are compared.
+SKETCH = 1024
+#: So many standard deviations may a pair's signature or sketch lie beyond what the threshold lets expect.
 SIGMAS = 5.0
 #: Ids of at most so many documents (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
@@ -72,8 +74,8 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(_finished(total))
 
 
-def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
+def _family(n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 31, n, np.uint32)[:, None] * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)[:, None]
 
 
@@ -95,8 +97,8 @@ def band_keys(found: np.ndarray, bands: int) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def _bits(found: np.ndarray) -> np.ndarray:
-    ones = (found >> np.uint32(13) & np.uint32(1)).astype(np.uint8)
+def _bits(found: np.ndarray, at: int = 13) -> np.ndarray:
+    ones = (found >> np.uint32(at) & np.uint32(1)).astype(np.uint8)
     return np.packbits(np.pad(ones, (0, -len(ones) % 64))).view(np.int64)
 
 
@@ -141,25 +143,36 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str,
     return texts.mapInArrow(run, "id long, n int, key binary, keys array<long>, bits array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, set binary): shingle sets of the documents with these ids, made anew from their texts."""
+def _of_documents(docs: DataFrame, ids: DataFrame, name: str, kind: str, made: Callable[[str], object], id_col: str, text_col: str) -> DataFrame:
+    """(id, name): what is made anew from the texts of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[kind]
         for whole in batches:
             for batch in sliced(whole):
-                sets = [shingle_set(x or "", width).tobytes() for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([made(x or "") for x in batch.column(1).to_pylist()], of)], ["id", name])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     few = ids.count() <= MOST_BROADCAST
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, set binary")
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, f"id long, {name} {kind}")
+
+
+def _sketches(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, sketch array<long>): four bits of each of SKETCH minima, one plane of bits after the other."""
+    a, b = _family(SKETCH, 20240301)
+
+    def made(text: str) -> np.ndarray:
+        least = minima(shingle_set(text, width), a, b)
+        return np.concatenate([_bits(least, at) for at in (9, 12, 15, 18)])
+
+    return _of_documents(docs, ids, "sketch", "array<long>", made, id_col, text_col)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     spark = pairs.sparkSession
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = stored(_sets_of(docs, ids, width, id_col, text_col), "sets")
+    sets = stored(_of_documents(docs, ids, "set", "binary", lambda text: shingle_set(text, width).tobytes(), id_col, text_col), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,6 +190,40 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
         return stored(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
+def _allowed(bits: int, share: float) -> int:
+    """So many of the bits may differ where each differs with that probability."""
+    return int(bits * share + SIGMAS * (bits * share * (1 - share)) ** 0.5)
+
+
+def _apart(x: Callable[[str], Column], y: Callable[[str], Column], words: int, planes: int) -> Column:
+    """How many minima differ in any of the planes' bits; the bits are in the columns p{plane}_{word}."""
+
+    def differing(w: int) -> Column:
+        found = x(f"p0_{w}").bitwiseXOR(y(f"p0_{w}"))
+        for p in range(1, planes):
+            found = found.bitwiseOR(x(f"p{p}_{w}").bitwiseXOR(y(f"p{p}_{w}")))
+        return F.bit_count(found)
+
+    return sum((differing(w) for w in range(1, words)), differing(0))
+
+
+def _apart_in(x: Column, y: Column, words: int, planes: int) -> Column:
+    """The same for bits in arrays, plane after plane: slower, and short enough for compiled code."""
+    bit = lambda w, p: F.get(x, w + p * words).bitwiseXOR(F.get(y, w + p * words))
+
+    def of(w: Column) -> Column:
+        found = bit(w, 0)
+        for p in range(1, planes):
+            found = found.bitwiseOR(bit(w, p))
+        return F.bit_count(found)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda n, w: n + of(w))
+
+
+def _planes(column: str, words: int, planes: int, each: int) -> list[Column]:
+    return [F.element_at(column, p * each + w + 1).alias(f"p{p}_{w}") for p in range(planes) for w in range(words)]
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles long, component_id, kept) for every row; the component is the smallest id reachable over links."""
     found = stored(signatures(docs, width, bands, rows, id_col, text_col), "signatures")
@@ -184,21 +231,32 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     first = found.filter("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "bits", "keys")).alias("r"))
     classes = stored(first.select("key", "r.*"), "classes")
-    buckets = classes.filter(F.col("n") >= least).select(F.explode("keys").alias("bucket"), "id")
-    facts = classes.select("id", "n", *[F.element_at("bits", k + 1).alias(f"b{k}") for k in range(-(-bands * rows // 64))])
-    words = [c for c in facts.columns if c[0] == "b"]
-    total = bands * rows
+    buckets = classes.filter(F.col("n") >= least).select(F.posexplode("keys").alias("band", "bucket"), "id")
+    words = -(-bands * rows // 64)
+    facts = classes.select("id", "n", *_planes("bits", words, 1, words))
     share = (1 - percent / 100) / 2
-    most = int(total * share + SIGMAS * (total * share * (1 - share)) ** 0.5)
-
-    def alike(x: str, y: str):
-        c = lambda side, name: F.col(f"{side}.{name}")
-        apart = sum((F.bit_count(c(x, w).bitwiseXOR(c(y, w))) for w in words), F.lit(0))
-        return (100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))) & (apart <= most)
-
-    stars = star_pairs(buckets).alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.id")).join(facts.alias("y"), F.col("p.b") == F.col("y.id"))
-    links = confirmed(stored(stars.filter(alike("x", "y")).select("p.a", "p.b"), "stars"), docs, width, percent, id_col, text_col)
-    pairs = stored(crossing_pairs(buckets, connected_components(links), facts, alike), "crossing")
+    side = lambda of: lambda name: F.col(f"{of}.{name}")
+
+    def sized(x: str, y: str) -> Column:
+        return 100 * F.least(side(x)("n"), side(y)("n")) >= percent * F.greatest(side(x)("n"), side(y)("n"))
+
+    def near(x: str, y: str) -> Column:
+        return sized(x, y) & (_apart(side(x), side(y), words, 1) <= _allowed(bands * rows, share))
+
+    def nearer(x: str, y: str) -> Column:
+        """First by a quarter of the sketch; a pair that shares several buckets is then looked at in the first of them only, by all of the sketch."""
+        quarter = _apart(side(x), side(y), SKETCH // 256, 4) <= _allowed(SKETCH // 4, 2 * share * 15 / 16)
+        again = F.arrays_overlap(F.slice(side(x)("keys"), F.lit(1), side(x)("band")), side(y)("keys"))
+        all_ = _apart_in(side(x)("sketch"), side(y)("sketch"), SKETCH // 64, 4) <= _allowed(SKETCH, 2 * share * 15 / 16)
+        return sized(x, y) & quarter & F.when(again, F.lit(False)).otherwise(all_)
+
+    stars = star_pairs(buckets.select("bucket", "id")).alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.id")).join(facts.alias("y"), F.col("p.b") == F.col("y.id"))
+    links = confirmed(stored(stars.filter(near("x", "y")).select("p.a", "p.b"), "stars"), docs, width, percent, id_col, text_col)
+    members = mixed_buckets(buckets, connected_components(links))
+    left = stored(members.select("id").distinct(), "left")
+    sketches = stored(_sketches(docs, left, width, id_col, text_col).join(classes.select("id", "n", "keys"), "id"), "sketches")
+    sketched = members.join(sketches.select("id", "n", "keys", "sketch", *_planes("sketch", SKETCH // 256, 4, SKETCH // 64)), "id")
+    pairs = stored(crossing_pairs(sketched, nearer), "crossing")
     links = links.union(confirmed(pairs, docs, width, percent, id_col, text_col))
     joined = classes.select("key", "id").join(connected_components(links).select(F.col("node").alias("id"), "component"), "id", "left")
     by_class = stored(joined.select("key", F.coalesce("component", "id").alias("component")), "by-class")
