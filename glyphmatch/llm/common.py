@@ -44,6 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of at most so many rows to leave out are broadcast (some 30 bytes each); more are joined by a shuffle.
+MOST_LEFT_OUT = 1_000_000
+
+
+def without(rows: DataFrame, keys: DataFrame, same: Column) -> DataFrame:
+    """Rows without those that meet one of the keys; `keys` is read twice: pass a stored table."""
+    few = keys.count() <= MOST_LEFT_OUT
+    return rows.join(F.broadcast(keys) if few else keys, same, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 

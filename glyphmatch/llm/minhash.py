@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import sliced, stored, without
 from .components import connected_components, crossing_pairs, mixed_buckets, star_pairs
 
 BANDS, ROWS = 32, 6
@@ -270,3 +270,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
             F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of one document of each group of near-duplicates, with all their columns; a row that occurs twice stays once."""
+    found = stored(near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col), "near")
+    dropped = stored(found.filter("not kept").select(F.col(id_col).alias("_id")).distinct(), "dropped")
+    rest = without(docs, dropped, F.col(id_col) == F.col("_id"))
+    twice = stored(found.filter(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_id")), "twice")
+    if not twice.count():
+        return rest
+    same = F.col(id_col) == F.col("_id")
+    return without(rest, twice, same).unionByName(rest.join(twice, same, "left_semi").dropDuplicates([id_col]))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_ddl, sliced, stored
+from .common import field_ddl, sliced, stored, without
 
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
@@ -66,16 +66,17 @@ def counts_of(text: str) -> tuple[int, ...]:
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, the counts of each whole text)."""
+    """(id, th, the counts of each whole text); th is the text's 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole):
-                found = np.array([counts_of(x or "") for x in batch.column(1).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(_COUNTS)))], ["id", *_COUNTS])
+                found = np.array([counts_of(x or "") for x in batch.column(2).to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(len(_COUNTS)))], ["id", "th", *_COUNTS])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {field_ddl(docs, id_col)}, " + ", ".join(f"{c} long" for c in _COUNTS)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    schema = f"id {field_ddl(docs, id_col)}, th long, " + ", ".join(f"{c} long" for c in _COUNTS)
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -132,7 +133,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, smo
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(id, counts, votes, base_failed, p_good, kept) per document."""
+    """(id, th, counts, votes, base_failed, p_good, kept) per document."""
     spark = docs.sparkSession
     names = list(rules())
     code = sum((vote * 3**k for k, vote in enumerate(rules().values())), F.lit(0))
@@ -146,5 +147,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         table.join(F.broadcast(verdicts), "votes")  # bounded like the patterns
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("p_good") >= least))
-        .select(id_col, *_COUNTS, "votes", "base_failed", "p_good", "kept")
+        .select(id_col, "th", *_COUNTS, "votes", "base_failed", "p_good", "kept")
     )
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of the documents that are kept, with all their columns."""
+    rejected = judged(docs, id_col, text_col, least).filter("not kept").select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct()
+    return without(docs, stored(rejected, "rejected"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_th")))

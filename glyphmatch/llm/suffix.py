@@ -258,8 +258,23 @@ def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     return hits.select("id", "th", "s.start", "s.spans").mapInArrow(merged, f"id {field_ddl(rows, 'id')}, th long, cuts array<int>")
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, cuts array<int>, kept binary) per row, and the columns to keep."""
+def _aligned(raw: bytes, cut: list[int]) -> list[int]:
+    """The cuts without characters at their ends that they cover in part."""
+    found: list[int] = []
+    for i, j in zip(cut[::2], cut[1::2]):
+        while i < j and raw[i] & 0xC0 == 0x80:
+            i += 1
+        while j > i and j < len(raw) and raw[j] & 0xC0 == 0x80:
+            j -= 1
+        found += [i, j] if i < j else []
+    return found
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, cuts array<int>, kept binary) per row, and the columns to keep.
+
+    whole_characters: characters of which only some bytes would go are left, so that what is kept is valid UTF-8.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
     rows = rows.withColumn("th", F.xxhash64("text"))
     cuts = stored(repeated_spans(rows.select("id", "th", "text"), width), "cuts")
@@ -272,6 +287,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                 n_bytes, n_removed, n_spans, kept = [], [], [], []
                 for text, cut in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
                     raw = text.encode()
+                    cut = _aligned(raw, cut) if cut and whole_characters else cut
                     ends = [0, *(cut or ()), len(raw)]
                     left = b"".join([raw[i:j] for i, j in zip(ends[::2], ends[1::2])])
                     n_bytes.append(len(raw))

@@ -1,8 +1,8 @@
 """Toxicity scores by a convolutional text classifier that is trained here in numpy.
 
-A word's vector is the mean of hashed embeddings of the word and of its byte n-grams. Filters of several widths run over the word vectors
+A word's vector is the mean of hashed embeddings of the word and of its first and last bytes. Filters of several widths run over the word vectors
 of the whole text; the largest value of each filter, through a rectifier, enters a logistic output. Training is by Adagrad on a bounded
-sample of labelled rows (`SAMPLE` rows, chosen by a hash of the id, whole texts); a fifth of the sample is kept
+sample of labelled rows (`SAMPLE` rows at most, up to half of them toxic, chosen by a hash of the id, whole texts), each class weighted to its share among all labelled rows when the output is scaled; a fifth of the sample is kept
 apart to scale the output and to choose a threshold for each language (at least `LEAST_POSITIVE` toxic rows, else the threshold of all). The score depends on the text alone.
 
 Null and empty texts are scored as a text without words. Repeated rows get equal scores. Labels of rows that aren't in the
@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import field_ddl, sliced
 
 #: Labelled rows that the classifier is fitted on at most.
-SAMPLE = 6_000
+SAMPLE = 8_000
 LEAST_POSITIVE = 20
-BUCKETS, SIZE, FILTERS, WIDTHS, GRAMS = 1 << 17, 12, 8, (1, 2, 3), (3, 4, 5, 6)
-EPOCHS, BATCH, RATE = 6, 64, 0.08
+BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 17, 12, 8, (1, 2, 3)
+#: Bytes at a word's start and end that are pieces of it.
+FIRST, LAST = (3, 4, 5, 6), (3, 4)
+#: Steps of training, each over a batch of texts.
+STEPS, BATCH, RATE = 800, 64, 0.08
 REMEMBERED = 250_000
 #: Words of a very long text that are looked at together.
 CHUNK = 16_384
@@ -43,23 +46,13 @@ def plain(word: bytes) -> bytes:
 
 def pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's pieces, one word after the other, and the number of pieces of each."""
-    sizes = np.array([len(w) + 2 for w in words])
-    raw = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    found, owners = [np.array([zlib.crc32(w) for w in words], np.uint32)], [np.arange(len(words))]
-    for n in GRAMS:
-        if len(raw) < n:
-            continue
-        h = np.full(len(raw) - n + 1, n, np.uint32)
-        for k in range(n):
-            h = (h ^ raw[k : len(raw) - n + 1 + k]) * np.uint32(0x01000193)
-            h ^= h >> np.uint32(13)
-        inside = owner[n - 1 :] == owner[: len(raw) - n + 1]
-        found.append((h * np.uint32(0x9E3779B1) >> np.uint32(3))[inside])
-        owners.append(owner[: len(raw) - n + 1][inside])
-    found, owners = np.concatenate(found), np.concatenate(owners)
-    by = np.argsort(owners, kind="stable")
-    return (found[by] % np.uint32(BUCKETS)).astype(np.int64), np.bincount(owners, minlength=len(words))
+    found = []
+    for w in words:
+        found.append(w)
+        found += [b"<%d" % n + w[:n] for n in FIRST if n < len(w)]
+        found += [b">%d" % n + w[-n:] for n in LAST if n < len(w)]
+    sizes = np.array([1 + sum(n < len(w) for n in (*FIRST, *LAST)) for w in words])
+    return np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % BUCKETS, sizes
 
 
 @dataclass
@@ -163,7 +156,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     begins = np.append(0, np.cumsum(counts))
     sums = {name: np.full_like(getattr(model, name), 1e-6) for name in ("embeddings", "filters", "bias", "out")}
     sum_out_bias, pad = 1e-6, max(WIDTHS) - 1
-    for epoch in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(docs))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
@@ -183,9 +176,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
                 ids = np.full(max(1, n) + pad, len(vocabulary))
                 ids[:n] = where[done : done + n]
                 done += n
-                best = [r.argmax(0) for r in _responses(taps[ids])]
-                for w, (r, b) in enumerate(zip(_responses(taps[ids]), best)):
-                    pooled[k, w * FILTERS : (w + 1) * FILTERS] = r[b, np.arange(FILTERS)]
+                responses = _responses(taps[ids])
+                best = [r.argmax(0) for r in responses]
+                pooled[k] = np.concatenate([r[b, np.arange(FILTERS)] for r, b in zip(responses, best)])
                 places.append((ids, best))
             active = pooled + model.bias
             hidden = np.maximum(active, 0)
@@ -220,14 +213,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def _scaled(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of labels on outputs, by Newton's method with a weak prior towards (1, 0)."""
+def _scaled(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic fit of labels on outputs, by Newton's method with a weak prior towards (1, 0)."""
     w = np.array([1.0, 0.0])
     x = np.stack([z, np.ones_like(z)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + 0.5 * (w - [1.0, 0.0])
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2), gradient)
+        gradient = x.T @ (weight * (p - y)) + 0.5 * (w - [1.0, 0.0])
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2), gradient)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -246,7 +239,11 @@ def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
 def fit(examples: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> tuple[Model, dict[str | None, float]]:
     """The model and the thresholds by language (None: all), from at most `sample` of the labelled rows."""
     rows = examples.filter(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"), F.col(lang_col).cast("string").alias("lang"))
-    taken = rows.orderBy("h", "text", "y").limit(sample).collect()
+    total = {bool(r[0]): r[1] for r in rows.groupBy(F.col("y") > 0).count().collect()}
+    most = {True: min(total.get(True, 0), max(sample // 2, sample - total.get(False, 0)))}
+    most[False] = min(total.get(False, 0), sample - most[True])
+    taken = [r for kind in (True, False) for r in rows.filter((F.col("y") > 0) == kind).orderBy("h", "text", "y").limit(most[kind]).collect()]
+    taken.sort(key=lambda r: (r[0], r[1]))
     texts, y, langs = [r[1] for r in taken], np.array([int(r[2] > 0) for r in taken], np.int64), [r[3] for r in taken]
     apart = np.arange(len(texts)) % 5 == 4
     model = train([t for t, a in zip(texts, apart) if not a], y[~apart]) if (~apart).any() else train([], np.zeros(1))
@@ -256,7 +253,8 @@ def fit(examples: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
         return model, {None: 0.5}
     scorer = Scorer(model)
     pooled = scorer.pooled([t for t, a in zip(texts, apart) if a])
-    model.scale = _scaled(model.logit(pooled).astype(float), y[apart])
+    weight = np.where(y[apart] > 0, total.get(True, 0) / max(1, most[True]), total.get(False, 0) / max(1, most[False]))
+    model.scale = _scaled(model.logit(pooled).astype(float), y[apart], weight / weight.mean())
     score, held = model.score(pooled), y[apart]
     thresholds: dict[str | None, float] = {None: _best_threshold(score, held) if held.any() else 0.5}
     by_lang = np.array([x or "" for x, a in zip(langs, apart) if a])
