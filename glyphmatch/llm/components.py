@@ -43,22 +43,33 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b) with a > b: every member of a bucket with the bucket's smallest member.
+#: Buckets of at most so many are broadcast (16 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
-    buckets: (bucket long, id long). Their number is that of the members, whatever the buckets' sizes.
+
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows of `buckets` (bucket long, id long, and others) whose bucket has several members, with its smallest as `first`.
+
+    Most buckets have one member; they are counted by their key alone and go no further.
     """
-    # Minima of a whole bucket come from partial minima; buckets of one member go no further.
-    first = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("bucket", "first")
-    return buckets.join(first, "bucket").filter("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    several = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "several")
+    few = several.count() <= MOST_BROADCAST
+    rows = stored(buckets.join(F.broadcast(several) if few else several, "bucket", "left_semi"), "members")
+    first = stored(rows.groupBy("bucket").agg(F.min("id").alias("first")), "firsts")
+    return stored(rows.join(first, "bucket"), "shared")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b) with a > b: every member of a bucket with its smallest; as many as members, whatever the buckets' sizes."""
+    return shared.filter("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
 
 
-def mixed_buckets(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of `buckets` (bucket long, id long, and others), with their component, whose bucket holds several components."""
-    labelled = buckets.join(components.select(F.col("node").alias("id"), "component"), "id", "left")
+def mixed_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of `shared`, with their component, whose bucket holds several components."""
+    labelled = shared.drop("first").join(components.select(F.col("node").alias("id"), "component"), "id", "left")
     labelled = stored(labelled.withColumn("component", F.coalesce("component", "id")), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    return stored(labelled.join(mixed, "bucket", "left_semi"), "mixed")
+    mixed = stored(labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "mixed")
+    return stored(labelled.join(mixed, "bucket", "left_semi"), "mixed-members")
 
 
 def crossing_pairs(members: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:

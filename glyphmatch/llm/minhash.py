@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sliced, stored, without
-from .components import connected_components, crossing_pairs, mixed_buckets, star_pairs
+from .components import connected_components, crossing_pairs, mixed_buckets, shared_buckets, star_pairs
 
 BANDS, ROWS = 32, 6
 #: Minima of the second pass, of each of which four bits are compared.
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     first = found.filter("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "bits", "keys")).alias("r"))
     classes = stored(first.select("key", "r.*"), "classes")
-    buckets = classes.filter(F.col("n") >= least).select(F.posexplode("keys").alias("band", "bucket"), "id")
+    shared = shared_buckets(classes.filter(F.col("n") >= least).select(F.posexplode("keys").alias("band", "bucket"), "id"))
     words = -(-bands * rows // 64)
     facts = classes.select("id", "n", *_planes("bits", words, 1, words))
     share = (1 - percent / 100) / 2
@@ -250,9 +250,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         all_ = _apart_in(side(x)("sketch"), side(y)("sketch"), SKETCH // 64, 4) <= _allowed(SKETCH, 2 * share * 15 / 16)
         return sized(x, y) & quarter & F.when(again, F.lit(False)).otherwise(all_)
 
-    stars = star_pairs(buckets.select("bucket", "id")).alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.id")).join(facts.alias("y"), F.col("p.b") == F.col("y.id"))
+    stars = star_pairs(shared).alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.id")).join(facts.alias("y"), F.col("p.b") == F.col("y.id"))
     links = confirmed(stored(stars.filter(near("x", "y")).select("p.a", "p.b"), "stars"), docs, width, percent, id_col, text_col)
-    members = mixed_buckets(buckets, connected_components(links))
+    members = mixed_buckets(shared, connected_components(links))
     left = stored(members.select("id").distinct(), "left")
     sketches = stored(_sketches(docs, left, width, id_col, text_col).join(classes.select("id", "n", "keys"), "id"), "sketches")
     sketched = members.join(sketches.select("id", "n", "keys", "sketch", *_planes("sketch", SKETCH // 256, 4, SKETCH // 64)), "id")
