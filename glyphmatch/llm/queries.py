@@ -42,7 +42,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out(F.col("doc_id")))
-    model, thresholds = toxicity.fit(docs.join(labels, "doc_id"))
+    model, thresholds = toxicity.fit(docs, labels)
     scored = toxicity.scored(docs, model, thresholds)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic")
 

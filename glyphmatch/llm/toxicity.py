@@ -152,6 +152,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         docs.append(np.array([words.setdefault(plain(w), len(words)) for w in text.encode().translate(_LOWER).split()], np.int64))
     if not words:
         return model
+    heavier = min(5.0, max(1.0, float((labels == 0).sum() / max(1, (labels > 0).sum()))))  # the rarer class counts more
     all_pieces, counts = pieces(list(words))
     begins = np.append(0, np.cumsum(counts))
     sums = {name: np.full_like(getattr(model, name), 1e-6) for name in ("embeddings", "filters", "bias", "out")}
@@ -183,7 +184,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             active = pooled + model.bias
             hidden = np.maximum(active, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30)))
-            error = (p - y) / len(chosen)
+            error = np.where(y > 0, heavier, 1.0).astype(np.float32) * (p - y) / len(chosen)
             to_hidden = error[:, None] * model.out * (active > 0)
             to_vectors, to_filters = np.zeros_like(vectors), np.zeros_like(model.filters)
             for k, (ids, best) in enumerate(places):
@@ -214,17 +215,18 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def _scaled(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic fit of labels on outputs, by Newton's method with a weak prior towards (1, 0)."""
-    w = np.array([1.0, 0.0])
-    x = np.stack([z, np.ones_like(z)], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + 0.5 * (w - [1.0, 0.0])
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2), gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(w[0], 1e-3)), float(w[1])
+    """Slope and offset of a weighted logistic fit of labels on outputs: the slope by least loss with a prior towards 1, the offset by bisection."""
+    best = (np.inf, 1.0, 0.0)
+    wanted = float(weight @ y) + 1e-3
+    for slope in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0):
+        low, high = -60.0, 60.0
+        for _ in range(60):
+            offset = (low + high) / 2
+            p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
+            low, high = (offset, high) if weight @ p < wanted else (low, offset)
+        loss = -(weight * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum() + np.log(slope) ** 2
+        best = min(best, (float(loss), slope, offset))
+    return best[1], best[2]
 
 
 def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
@@ -236,14 +238,22 @@ def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
 
 
-def fit(examples: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> tuple[Model, dict[str | None, float]]:
-    """The model and the thresholds by language (None: all), from at most `sample` of the labelled rows."""
-    rows = examples.filter(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"), F.col(lang_col).cast("string").alias("lang"))
-    total = {bool(r[0]): r[1] for r in rows.groupBy(F.col("y") > 0).count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> tuple[Model, dict[str | None, float]]:
+    """The model and the thresholds by language (None: all), from the documents of at most `sample` of the labels.
+
+    The sample's ids are chosen from the labels alone and broadcast (at most `sample` rows), so no text is shuffled.
+    """
+    spark = docs.sparkSession
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = known.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    total = {bool(r[0]): r[1] for r in known.groupBy("y").count().collect()}
     most = {True: min(total.get(True, 0), max(sample // 2, sample - total.get(False, 0)))}
     most[False] = min(total.get(False, 0), sample - most[True])
-    taken = [r for kind in (True, False) for r in rows.filter((F.col("y") > 0) == kind).orderBy("h", "text", "y").limit(most[kind]).collect()]
-    taken.sort(key=lambda r: (r[0], r[1]))
+    chosen = [(r.id, r.y, r.h) for kind in (True, False) for r in known.filter(F.col("y") == int(kind)).orderBy("h", "id").limit(most[kind]).collect()]
+    ids = spark.createDataFrame(chosen, f"id {field_ddl(known, 'id')}, y int, h long")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    taken = [(r.h, r.text, r.y, r.lang) for r in rows.join(F.broadcast(ids), "id").collect()]
+    taken.sort(key=lambda r: (r[0], r[1], r[2]))
     texts, y, langs = [r[1] for r in taken], np.array([int(r[2] > 0) for r in taken], np.int64), [r[3] for r in taken]
     apart = np.arange(len(texts)) % 5 == 4
     model = train([t for t, a in zip(texts, apart) if not a], y[~apart]) if (~apart).any() else train([], np.zeros(1))
