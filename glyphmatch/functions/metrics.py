@@ -31,7 +31,7 @@ def byte_text(text: Column) -> Column:
 def gram_array(values: Column, q: int, of_text: bool = True) -> Column:
     """All q-grams of a text (strings) or of an array (arrays), in order; empty where it is shorter. The work is in proportion to the size."""
     if of_text:
-        return F.regexp_extract_all(values, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
+        return F.regexp_extract_all(values, F.lit(f"(?s)(?=(.{{{q}}}))."), F.lit(1))
     # The outer array binds the values, which the inner function would compute for each place otherwise.
     cut = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - q + 1, F.lit(1))), lambda i: F.slice(v, i, q))
     return F.when(F.size(values) >= q, F.transform(F.array(values), cut)[0]).otherwise(F.array().cast("array<array<int>>"))
