@@ -70,7 +70,7 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
 def _grams(text: Column, order: int) -> Column:
     """For each character of the text and its end: the `order` characters before it and itself."""
     padded = F.concat(F.lit(_START * order), text, F.lit(_END))
-    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order + 1}}}))"), F.lit(1))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order + 1}}}))."), F.lit(1))
 
 
 def _gram_scores(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
