@@ -190,9 +190,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
         return stored(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _allowed(bits: int, share: float) -> int:
+def _allowed(bits: int, share: float, sigmas: float = SIGMAS) -> int:
     """So many of the bits may differ where each differs with that probability."""
-    return int(bits * share + SIGMAS * (bits * share * (1 - share)) ** 0.5)
+    return int(bits * share + sigmas * (bits * share * (1 - share)) ** 0.5)
 
 
 def _apart(x: Callable[[str], Column], y: Callable[[str], Column], words: int, planes: int) -> Column:
