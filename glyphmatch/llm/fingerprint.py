@@ -4,7 +4,7 @@ A 24-byte window slides over the UTF-8 bytes, padded with zeros at the end; six
 counted. Bytes of a triplet lie some way apart: counts of neighbouring bytes would tell the language rather than the text. The
 digest says for each bucket in which quartile its count lies (two bits) and holds the length on a logarithmic scale. Two digests differ by the
 sum of their quartile steps (a step over all three quartiles counts six) and the length steps; the likeness is one minus
-the difference over a bound, not below 0.
+the difference over what unrelated texts' digests differ by, not below 0.
 
 Null texts count as empty; an empty text has the digest of no counts. Equal texts have equal
 digests. An empty table gives an empty result; repeated rows and ids are ordered by id, then text; columns besides
@@ -44,7 +44,7 @@ def _counts(raw: bytes) -> np.ndarray:
             key *= np.uint32(factor)
             key ^= key >> np.uint32(15)
             key *= np.uint32(factor ^ 0x5BD1E994)
-            total += np.bincount(key >> np.uint32(24), minlength=BUCKETS)
+            total += np.bincount(key >> np.uint32(32 - BUCKETS.bit_length() + 1), minlength=BUCKETS)
     return total
 
 
@@ -63,17 +63,22 @@ def digest(raw: bytes) -> str:
 
 def _steps(d: str) -> np.ndarray:
     packed = np.frombuffer(bytes.fromhex(d[2:]), np.uint8)
-    return np.stack([packed >> s & 3 for s in (0, 2, 4, 6)], 1).ravel().astype(np.int16)
+    return np.stack([packed >> s & 3 for s in (0, 2, 4, 6)], 1).ravel()
+
+
+#: Difference of two buckets by their quartiles: the steps between them, six over all three.
+_COST = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]])
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1; 1 for equal digests. Unrelated byte counts differ by 1.5 a bucket on average, which counts as 0."""
+    """0 to 1; 1 for equal digests, 0 where the buckets differ as much as those of unrelated texts with as many of each quartile."""
     if a == b:
         return 1.0
-    gap = np.abs(_steps(a) - _steps(b))
+    x, y = _steps(a), _steps(b)
     length = abs(int(a[:2], 16) - int(b[:2], 16))
-    difference = int(gap.sum()) + 3 * int((gap == 3).sum()) + max(0, length - 1)
-    return max(0.0, 1.0 - difference / (1.5 * BUCKETS))
+    difference = int(_COST[x, y].sum()) + max(0, length - 1)
+    unrelated = float(np.bincount(x, minlength=4) @ _COST @ np.bincount(y, minlength=4)) / len(x)
+    return max(0.0, 1.0 - difference / unrelated) if unrelated else 0.0
 
 
 def edited(text: str, following: str) -> str:
