@@ -32,7 +32,8 @@ SKETCH = 1024
 SIGMAS = 5.0
 #: Ids of at most so many documents (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-REMEMBERED = 800_000
+#: Word hashes that a worker remembers before it starts anew; workers keep them only while a task runs.
+REMEMBERED = 200_000
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -138,6 +139,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str,
                         bits.append(None)
                 arrays = [batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key", "keys", "bits"])
+        _HASHES.clear()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "id long, n int, key binary, keys array<long>, bits array<long>")
@@ -151,6 +153,7 @@ def _of_documents(docs: DataFrame, ids: DataFrame, name: str, kind: str, made: C
         for whole in batches:
             for batch in sliced(whole):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([made(x or "") for x in batch.column(1).to_pylist()], of)], ["id", name])
+        _HASHES.clear()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     few = ids.count() <= MOST_BROADCAST

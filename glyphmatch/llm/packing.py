@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .bpe import byte_characters
 from .common import field_ddl, sliced, stored
 
-REMEMBERED = 800_000
+#: Words that a worker remembers before it starts anew; it keeps them only while a task runs.
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 256
 
 #: Letters before this one are in composed form and have lower-case letters of one character, or are told by isalpha().
@@ -99,6 +100,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int
                         ids.append(tokens[at : at + step])
                 columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids"])
+        words.clear()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {field_ddl(docs, id_col)}, piece int, start long, length long, ids binary"

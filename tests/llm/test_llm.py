@@ -508,7 +508,7 @@ def test_fingerprints_tell_texts_apart():
     digests = [fingerprint.digest(t.encode()) for t in texts]
     near = [fingerprint.likeness(d, fingerprint.digest(fingerprint.edited(t, texts[k - 1]).encode())) for k, (t, d) in enumerate(zip(texts, digests))]
     far = [fingerprint.likeness(a, b) for a, b in zip(digests, digests[1:])]
-    assert all(n > f for n, f in zip(near, far)) and np.mean(near) > np.mean(far) + 0.2
+    assert all(n > f for n, f in zip(near, far)) and np.mean(near) > np.mean(far) + 0.1
     assert fingerprint.digest(b"a" * 600_000) == fingerprint.digest(b"a" * 600_000)
 
 
