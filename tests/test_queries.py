@@ -49,3 +49,14 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.d for r in spark.table("distances").collect()) == [1, 1]
+
+
+def test_matches_of_a_stream(spark, tmp_path):
+    from glyphmatch.streaming import match_stream
+
+    spark.createDataFrame([(1, "fu"), (2, "barz"), (3, None)], "id long, x string").write.parquet(str(tmp_path / "in"))
+    table = spark.createDataFrame([(1, "foo"), (2, "bar")], "pos long, t string")
+    stream = spark.readStream.schema("id long, x string").parquet(str(tmp_path / "in"))
+    query = match_stream(stream, table, lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out")), max_dist=1, method="lv").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.id, r.match) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, None), (2, 2), (3, None)]
