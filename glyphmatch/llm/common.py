@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmatch-"))
+        own = tempfile.mkdtemp(prefix="glyphmatch-")
+        atexit.register(shutil.rmtree, own, True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir().rstrip("/")
 
 
