@@ -20,27 +20,32 @@ def _with_words(docs: DataFrame, columns: list[str]) -> DataFrame:
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    common.small_batches(spark)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules accept."""
-    ship(spark)
+    _prepare(spark)
     return quality.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that nearly equal an earlier one."""
-    ship(spark)
+    _prepare(spark)
     return _with_words(line_dedup.deduplicated(docs), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is alike by shingles of five words at 0.8 or more."""
-    ship(spark)
+    _prepare(spark)
     return minhash.one_of_each(docs, width=5, percent=80)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 200 bytes that occur elsewhere too."""
-    ship(spark)
+    _prepare(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     found = suffix.without_repeats(docs, width=200, keep=others, whole_characters=True)
     return _with_words(found.withColumn("text", F.col("kept").cast("string")), docs.columns)
@@ -48,7 +53,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
-    ship(spark)
+    _prepare(spark)
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

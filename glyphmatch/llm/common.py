@@ -36,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Rows in an Arrow batch at most: a batch holds whole texts, on both sides of the pipe to Python.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ARROW_ROWS if it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glyphmatch-{name}-{uuid.uuid4().hex}"
 

@@ -108,7 +108,8 @@ def arrow_rows(spark: SparkSession, n: int):
     """At most so many rows in an Arrow batch, for rows that hold whole sets."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
+    if not 0 < int(before) <= n:
+        spark.conf.set(name, str(n))
     try:
         yield
     finally:

@@ -15,6 +15,7 @@ URL_RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Ru
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
