@@ -18,6 +18,12 @@ class Codes:
         self.values, self.sizes = values, sizes.astype(np.int64)
         self.begins = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if len(sizes) else self.sizes
 
+    def part(self, first: int, end: int) -> Codes:
+        """The sequences from first to end."""
+        sizes = self.sizes[first:end]
+        begin = int(self.begins[first]) if end > first else 0
+        return Codes(self.values[begin : begin + int(sizes.sum())], sizes)
+
     def padded(self, rows: np.ndarray, filler: int) -> np.ndarray:
         sizes = self.sizes[rows]
         width = int(sizes.max()) if len(rows) else 0

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 
 from ..options import Options
-from .encode import Codes, alike_in_size
+from .encode import MOST_CELLS, Codes, alike_in_size
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -172,7 +172,11 @@ def grams(s: Codes, t: Codes, method: str, q: int) -> np.ndarray:
 def distances(a: Codes, b: Codes, o: Options) -> np.ndarray:
     """Distance of each row's a and b: the cost of turning b into a."""
     if o.method in ("qgram", "cosine", "jaccard", "running_cosine"):
-        return grams(b, a, "cosine" if o.method == "running_cosine" else o.method, o.q)
+        method = "cosine" if o.method == "running_cosine" else o.method
+        # Pairs are independent; so many at a time that their grams stay within the cells.
+        share = np.cumsum(a.sizes + b.sizes) // MOST_CELLS
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(share)]
+        return np.concatenate([grams(b.part(i, j), a.part(i, j), method, o.q) for i, j in zip(cuts, cuts[1:])]) if len(share) else np.zeros(0)
     found = np.empty(len(a.sizes))
     w = o.weight
     for rows in alike_in_size(b.sizes, a.sizes, 1 << 22, 2 if o.method == "dl" else 1):
