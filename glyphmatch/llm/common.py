@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(found)
         return found.rstrip("/")
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="glyphmatch-")
         atexit.register(shutil.rmtree, own, True)
@@ -106,5 +106,13 @@ def chained(*parts: Iterable) -> Iterator:
         yield from part
 
 
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """The name, or it with underscores that make it differ from all of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def safe_name(name: str) -> str:
     return re.sub(r"\W", "_", name)

@@ -44,7 +44,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 #: Buckets of at most so many are broadcast (16 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 500_000
+#: Further rounds of stars before what is left is compared in full.
+ROUNDS = 4
+#: Pairs between components, as a multiple of the members, from which a further round of stars pays.
+WORTH = 8
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
@@ -54,9 +58,14 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     """
     several = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "several")
     few = several.count() <= MOST_BROADCAST
-    rows = stored(buckets.join(F.broadcast(several) if few else several, "bucket", "left_semi"), "members")
+    return with_first(stored(buckets.join(F.broadcast(several) if few else several, "bucket", "left_semi"), "members"))
+
+
+def with_first(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, id, and others) with the smallest id of their bucket as `first`."""
     first = stored(rows.groupBy("bucket").agg(F.min("id").alias("first")), "firsts")
-    return stored(rows.join(first, "bucket"), "shared")
+    few = first.count() <= MOST_BROADCAST
+    return stored(rows.join(F.broadcast(first) if few else first, "bucket"), "shared")
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
@@ -69,7 +78,47 @@ def mixed_buckets(shared: DataFrame, components: DataFrame) -> DataFrame:
     labelled = shared.drop("first").join(components.select(F.col("node").alias("id"), "component"), "id", "left")
     labelled = stored(labelled.withColumn("component", F.coalesce("component", "id")), "labelled")
     mixed = stored(labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"), "mixed")
-    return stored(labelled.join(mixed, "bucket", "left_semi"), "mixed-members")
+    few = mixed.count() <= MOST_BROADCAST
+    return stored(labelled.join(F.broadcast(mixed) if few else mixed, "bucket", "left_semi"), "mixed-members")
+
+
+def other_stars(members: DataFrame, salt: int) -> DataFrame:
+    """(a, b) with a > b: every member of a mixed bucket with one that chance picks, unless they share a component."""
+    chance = F.xxhash64(F.lit(salt), "id", "bucket")
+    hubs = members.groupBy("bucket").agg(F.min(F.struct(chance.alias("chance"), F.col("id").alias("hub"), F.col("component").alias("of"))).alias("h"))
+    hubs = stored(hubs.select("bucket", "h.hub", "h.of"), "hubs")
+    few = hubs.count() <= MOST_BROADCAST
+    met = members.join(F.broadcast(hubs) if few else hubs, "bucket").filter("component != of")
+    return met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+
+
+def _between(members: DataFrame) -> tuple[int, int]:
+    """How many pairs of members of a bucket lie in different components, and how many members there are."""
+    each = members.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n"))
+    whole = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    pairs, n = whole.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    return int(pairs), int(n)
+
+
+def linked_members(shared: DataFrame, confirmed: Callable[[DataFrame], DataFrame], crossing: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links that connect what links within buckets connect.
+
+    Every round compares the members of a bucket with one of them, which is as many pairs as members, and merges what is linked. After
+    the smallest member, chance picks another one of each bucket that still holds several components, since members of a large family
+    that one centre misses are mostly linked by the next. Once rounds no longer pay, all pairs between different components of
+    a bucket are compared, so no link is lost. `confirmed` takes pairs (a, b) and returns the linked ones; `crossing` takes members (the
+    columns of `shared` and component) and returns the links between different components of a bucket.
+    """
+    links = confirmed(star_pairs(shared))
+    for salt in range(ROUNDS + 1):
+        members = mixed_buckets(shared, connected_components(links))
+        pairs, n = _between(members)
+        if not n:
+            return links
+        if pairs <= WORTH * n or salt == ROUNDS:
+            break
+        links = stored(links.union(confirmed(other_stars(members, salt))), "links-so-far")
+    return links.union(crossing(members))
 
 
 def crossing_pairs(members: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, without
-from .components import connected_components, crossing_pairs, mixed_buckets, shared_buckets, star_pairs
+from .common import fresh, sliced, stored, without
+from .components import connected_components, crossing_pairs, linked_members, shared_buckets
 
 BANDS, ROWS = 32, 6
 #: Minima of the second pass, of each of which four bits are compared.
@@ -254,14 +254,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         all_ = _apart_in(side(x)("sketch"), side(y)("sketch"), SKETCH // 64, 4) <= _allowed(SKETCH, 2 * share * 15 / 16)
         return sized(x, y) & quarter & F.when(again, F.lit(False)).otherwise(all_)
 
-    stars = star_pairs(shared).alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.id")).join(facts.alias("y"), F.col("p.b") == F.col("y.id"))
-    links = confirmed(stored(stars.filter(near("x", "y")).select("p.a", "p.b"), "stars"), docs, width, percent, id_col, text_col)
-    members = mixed_buckets(shared, connected_components(links))
-    left = stored(members.select("id").distinct(), "left")
-    sketches = stored(_sketches(docs, left, width, id_col, text_col).join(classes.select("id", "n", "keys"), "id"), "sketches")
-    sketched = members.join(sketches.select("id", "n", "keys", "sketch", *_planes("sketch", SKETCH // 256, 4, SKETCH // 64)), "id")
-    pairs = stored(crossing_pairs(sketched, nearer), "crossing")
-    links = links.union(confirmed(pairs, docs, width, percent, id_col, text_col))
+    def starred(pairs: DataFrame) -> DataFrame:
+        met = pairs.alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.id")).join(facts.alias("y"), F.col("p.b") == F.col("y.id"))
+        return confirmed(stored(met.filter(near("x", "y")).select("p.a", "p.b"), "stars"), docs, width, percent, id_col, text_col)
+
+    def crossing(members: DataFrame) -> DataFrame:
+        left = stored(members.select("id").distinct(), "left")
+        sketches = stored(_sketches(docs, left, width, id_col, text_col).join(classes.select("id", "n", "keys"), "id"), "sketches")
+        sketched = members.join(sketches.select("id", "n", "keys", "sketch", *_planes("sketch", SKETCH // 256, 4, SKETCH // 64)), "id")
+        return confirmed(stored(crossing_pairs(sketched, nearer), "crossing"), docs, width, percent, id_col, text_col)
+
+    links = linked_members(shared, starred, crossing)
     joined = classes.select("key", "id").join(connected_components(links).select(F.col("node").alias("id"), "component"), "id", "left")
     by_class = stored(joined.select("key", F.coalesce("component", "id").alias("component")), "by-class")
     return (
@@ -279,10 +282,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each group of near-duplicates, with all their columns; a row that occurs twice stays once."""
     found = stored(near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col), "near")
-    dropped = stored(found.filter("not kept").select(F.col(id_col).alias("_id")).distinct(), "dropped")
-    rest = without(docs, dropped, F.col(id_col) == F.col("_id"))
-    twice = stored(found.filter(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_id")), "twice")
+    key = fresh("id", docs.columns)
+    same = F.col(f"`{id_col}`") == F.col(key)
+    dropped = stored(found.filter("not kept").select(F.col(id_col).alias(key)).distinct(), "dropped")
+    rest = without(docs, dropped, same)
+    twice = found.filter(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1")
+    twice = stored(twice.select(F.col(id_col).alias(key)), "twice")
     if not twice.count():
         return rest
-    same = F.col(id_col) == F.col("_id")
     return without(rest, twice, same).unionByName(rest.join(twice, same, "left_semi").dropDuplicates([id_col]))
