@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that nearly equal an earlier one."""
     _prepare(spark)
-    return _with_words(line_dedup.deduplicated(docs), docs.columns)
+    return _with_words(line_dedup.deduplicated(docs, counts=False), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
