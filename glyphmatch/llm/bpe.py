@@ -84,6 +84,15 @@ def serialise_model(tokens: list[bytes]) -> bytes:
     return b"".join(parts)
 
 
+def _known_pattern() -> str | None:
+    """The pattern of which it is known that no match reaches over a space that follows another character; texts are cut there for it alone."""
+    try:
+        from public_tokenizers import PATTERN
+    except ImportError:
+        return None
+    return PATTERN
+
+
 class _Units(dict):
     """Unit -> its ids as little-endian int32 bytes, made on first sight."""
 
@@ -110,6 +119,7 @@ class Codec:
         self.chars = byte_characters()
         self.table = {b: self.chars[b] for b in range(256)}
         self.pretoken = regex.compile(pattern)
+        self.by_spaces = pattern == _known_pattern()
         self.boundary = regex.compile(r"(?<![\s\x1c-\x1f\x85]) ")
         self.odd = regex.compile(r"[\s\x1c-\x1f\x85] ")
         self.units = _Units(self)
@@ -136,6 +146,8 @@ class Codec:
         return [text[i:j] for i, j in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
+        if not self.by_spaces:
+            return self.encode_unit(text)
         if len(self.units) > REMEMBERED:
             self.units.clear()
         return b"".join(map(self.units.__getitem__, self.split(text))) if text else b""

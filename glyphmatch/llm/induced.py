@@ -4,8 +4,7 @@ Suffixes are classified as smaller (S) or larger (L) than their right neighbour;
 substrings, which are sorted by one round of inducing and named; the string of names is sorted recursively; a
 second round of inducing from the sorted LMS suffixes gives the array. A bucket's entries are scanned at once:
 those that they induce into the bucket itself form the next front. Where names are many and buckets small,
-plain loops do the same scan. Where most names of a level are distinct, the few ties are ordered by doubling
-the compared length instead of a further level, and the levels above are induced as before.
+plain loops do the same scan. The recursion ends where all names of a level are distinct.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32)
-    if 2 * sigma > n and n > 64:
-        return _doubled(text)
     text = text.astype(np.uint16 if sigma <= 1 << 16 else np.int32)
     smaller = _smaller(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
@@ -54,28 +51,6 @@ def _smaller(text: np.ndarray) -> np.ndarray:
     return found
 
 
-def _doubled(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a string of mostly distinct names: those not yet told apart are compared over twice the length each time."""
-    n = len(text)
-    order = np.argsort(text, kind="stable").astype(np.int32)
-    new = np.append(True, text[order[1:]] != text[order[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the first place of the group
-    length = 1
-    while not new.all():
-        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups of several
-        suffixes = order[open_]
-        group = rank[suffixes]
-        key = group * (n + 1) + np.where(suffixes + length < n, rank[np.minimum(suffixes + length, n - 1)] + 1, 0)
-        by = np.argsort(key, kind="stable")
-        key, suffixes = key[by], suffixes[by]
-        order[open_] = suffixes  # groups keep their places
-        new[open_] = np.append(True, key[1:] != key[:-1])
-        rank[suffixes] = np.maximum.accumulate(np.where(new[open_], open_, 0))
-        length *= 2
-    return order
-
-
 def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Ranks of the LMS substrings in their sorted order; equal ones share a rank. at: each one's number in the text."""
     ends = np.append(lms[1:], len(text) - 1)

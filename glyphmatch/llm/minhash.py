@@ -4,8 +4,8 @@ A document's set holds its distinct shingles of `width` words (ASCII letters low
 sequence). Documents with equal sets form a class at once. Class representatives get `rows * bands` minima of universal
 hashes; those that agree in all rows of a band share a bucket. Pairs are checked in two passes: first everyone in a bucket against its
 smallest member, by one-bit signatures; then, between the components found so far, all pairs of a bucket by sketches of `SKETCH` further minima, made only
-for the documents that are left. Each pair is confirmed on the full sets. A link at the threshold is missed by all bands with a probability below
-(1 - threshold ** rows) ** bands, 3e-7 for 0.85.
+for the documents that are left. Each pair is confirmed on the full sets. A link at the threshold is missed by all bands with a probability of
+(1 - threshold ** rows) ** bands: 3e-7 at 0.85, 6e-5 at 0.80, less above; a sketch beyond SIGMAS standard deviations drops another 3e-7.
 
 Null and empty texts have no shingles, are linked with nothing and kept. Ids should be unique; rows with a
 null id are kept and get no component. Repeated rows are copies of each other. Columns besides the two named
@@ -51,6 +51,11 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def forget() -> None:
+    """Called by name, so that it is the worker's own memory that is cleared and not a copy shipped with a task."""
+    _HASHES.clear()
+
+
 def _finished(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -140,7 +145,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str,
                         bits.append(None)
                 arrays = [batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key", "keys", "bits"])
-        _HASHES.clear()
+        forget()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "id long, n int, key binary, keys array<long>, bits array<long>")
@@ -154,7 +159,7 @@ def _of_documents(docs: DataFrame, ids: DataFrame, name: str, kind: str, made: C
         for whole in batches:
             for batch in sliced(whole):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([made(x or "") for x in batch.column(1).to_pylist()], of)], ["id", name])
-        _HASHES.clear()
+        forget()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     few = ids.count() <= MOST_BROADCAST

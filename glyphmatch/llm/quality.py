@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_ddl, sliced, stored, without
+from .common import field_ddl, fresh, sliced, stored, without
 
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
@@ -153,5 +153,6 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of the documents that are kept, with all their columns."""
-    rejected = judged(docs, id_col, text_col, least).filter("not kept").select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct()
-    return without(docs, stored(rejected, "rejected"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_th")))
+    id_, th = fresh("id", docs.columns), fresh("th", docs.columns)
+    rejected = judged(docs, id_col, text_col, least).filter("not kept").select(F.col(id_col).alias(id_), F.col("th").alias(th)).distinct()
+    return without(docs, stored(rejected, "rejected"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(th)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprint, line_dedup, minhash, packing, quality, suffix, toxicity, url_filter, warc
+from . import bpe, common, fingerprint, line_dedup, minhash, oracle, packing, quality, suffix, toxicity, url_filter, warc
 from .url_filter import Rule
 
 URL_RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
@@ -85,6 +85,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 4 finds without its model: host, path, rule and the rule's verdict of every page."""
+    found = op4_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 10 counts in every document, and its base rules."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -96,7 +107,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
+    "url_rules": url_rules,
+    "quality_counts": quality_counts,
 }
 
-#: Duck SQL for those that it can express.
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for those that it can express.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": oracle.OP1_WARC,
+    "op2_line_dedup": oracle.OP2_LINE_DEDUP,
+    "op5_minhash_near_dedup": oracle.OP5_MINHASH_NEAR_DEDUP,
+    "op6_suffix_array_dedup": oracle.OP6_SUFFIX_ARRAY_DEDUP,
+    "url_rules": oracle.URL_RULES,
+    "quality_counts": oracle.QUALITY_COUNTS,
+}

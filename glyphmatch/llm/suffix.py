@@ -2,10 +2,11 @@
 
 Every string of `width` bytes in a text (a window) has an anchor, its leftmost smallest 64-gram by hash, so equal windows have
 equal anchors. Windows next to each other with one anchor form a region. Regions whose anchor occurs once hold no repeated
-window. The others are collapsed to distinct ones (with a mark where several were equal), fetched, and dealt by
+window. Of equal regions two are fetched, of others the one there is, and dealt by
 anchor into shards of a few MB. Each shard's text gets a suffix array by induced sorting and permuted common prefixes; a
-window repeats if it shares `width` bytes with its neighbour in the array, or lies in a region that occurred several times.
-An anchor with very many distinct regions isn't dealt to one shard: its windows are counted by digest instead, which is exact as well and splits at will.
+window repeats if it shares `width` bytes with its neighbour in the array. What is found for a region holds for all that equal it.
+An anchor with very many distinct regions isn't dealt to one shard: its regions are looked at as texts of their own, with anchors of twice as many
+bytes, and at last of whole windows, of which each has one region.
 
 Nulls count as empty. Texts shorter than a window keep all bytes. Rows with equal id and text count as several occurrences each.
 Columns besides the two named aren't read; an empty table gives an empty result.
@@ -26,7 +27,7 @@ from .induced import common_prefixes, suffix_array
 WIDTH = 200
 #: Bytes of a shard's text from which the next anchor begins another one.
 SHARD_BYTES = 6 << 20
-#: Distinct regions of one anchor beyond which its windows are counted by digest.
+#: Distinct regions of one anchor beyond which they get longer anchors.
 MOST_REGIONS = 2_000
 #: Lists of at most so many numbers (4 bytes each) are broadcast; longer ones are joined by a shuffle.
 MOST_BROADCAST = 4_000_000
@@ -61,9 +62,13 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Regions of a text: first window, number of windows, hash of the anchor."""
-    k = max(1, width * 8 // 25)
+def _raw(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode()
+
+
+def anchors(raw: bytes, width: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Regions of a text: first window, number of windows, hash of the anchor, which has 8, 16 or all 25 of 25 parts of a window."""
+    k = max(1, width * (8, 16, 25)[level] // 25)
     span = width - k + 1
     starts, sizes, hashes = [], [], []
     for at in range(0, max(0, len(raw) - width + 1), CHUNK):
@@ -94,7 +99,7 @@ def _digests(raw: bytes, starts: np.ndarray, sizes: np.ndarray, width: int) -> n
     return np.fromiter((of(raw[i:j]) for i, j in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
 
 
-def _regions(rows: DataFrame, width: int) -> DataFrame:
+def _regions(rows: DataFrame, width: int, level: int) -> DataFrame:
     """(id, th, start int, size int, anchor long, region long) for every region of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +107,10 @@ def _regions(rows: DataFrame, width: int) -> DataFrame:
             for batch in sliced(whole):
                 row, columns = [], [[], [], [], []]
                 for k, text in enumerate(batch.column(2).to_pylist()):
-                    raw = text.encode()
+                    raw = _raw(text)
                     if len(raw) < width:
                         continue
-                    start, size, anchor = anchors(raw, width)
+                    start, size, anchor = anchors(raw, width, level)
                     row.append(np.full(len(start), k))
                     for c, x in zip(columns, (start.astype(np.int32), size.astype(np.int32), anchor.view(np.int64), _digests(raw, start, size, width).view(np.int64))):
                         c.append(x)
@@ -116,16 +121,16 @@ def _regions(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {field_ddl(rows, 'id')}, th long, start int, size int, anchor long, region long")
 
 
-def _fetched(rows: DataFrame, wanted: DataFrame, few: bool, width: int) -> DataFrame:
-    """(anchor, region, several, hot, size, raw) of the wanted regions; wanted: (id, th, marks array<int>), a mark being 4 * start + 2 * hot + several."""
+def _fetched(rows: DataFrame, wanted: DataFrame, few: bool, width: int, level: int) -> DataFrame:
+    """(anchor, region, again, hot, size, raw) of the wanted regions; wanted: (id, th, marks array<long>), a mark being 4 * start + 2 * hot + again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, 4 << 20):
                 out: list[list] = [[], [], [], [], [], []]
                 for text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    raw = text.encode()
-                    start, size, anchor = anchors(raw, width)
+                    raw = _raw(text)
+                    start, size, anchor = anchors(raw, width, level)
                     marks = np.unique(np.array(marks, np.int64))
                     at = np.searchsorted(start, marks >> 2)
                     start, size, anchor = start[at], size[at], anchor[at]
@@ -136,10 +141,10 @@ def _fetched(rows: DataFrame, wanted: DataFrame, few: bool, width: int) -> DataF
                     out[4] += size.tolist()
                     out[5] += [raw[i:j] for i, j in zip(start.tolist(), (start + size + (width - 1)).tolist())]
                 types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()]
-                yield from sliced(pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["anchor", "region", "several", "hot", "size", "raw"]))
+                yield from sliced(pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["anchor", "region", "again", "hot", "size", "raw"]))
 
     met = rows.alias("d").join(F.broadcast(wanted).alias("w") if few else wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.th") == F.col("w.th")))
-    return met.select("d.text", "w.marks").mapInArrow(run, "anchor long, region long, several boolean, hot boolean, size int, raw binary")
+    return met.select("d.text", "w.marks").mapInArrow(run, "anchor long, region long, again boolean, hot boolean, size int, raw binary")
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -174,8 +179,8 @@ def _sorted_shards(regions: DataFrame, width: int, parts: int) -> DataFrame:
 
     def finish(held: list[tuple]) -> pa.RecordBatch:
         hits = repeated_windows([x[4] for x in held], [x[3] for x in held], width)
-        spans = [_runs(hit | x[2]) for x, hit in zip(held, hits)]
-        keep = [k for k, s in enumerate(spans) if len(s)]
+        spans = [_runs(hit) for hit in hits]
+        keep = [k for k, s in enumerate(spans) if len(s) and not held[k][2]]
         return pa.RecordBatch.from_arrays(
             [pa.array([held[k][0] for k in keep], pa.int64()), pa.array([held[k][1] for k in keep], pa.int64()), pa.array([spans[k] for k in keep], pa.list_(pa.int32()))], ["anchor", "region", "spans"]
         )
@@ -192,50 +197,38 @@ def _sorted_shards(regions: DataFrame, width: int, parts: int) -> DataFrame:
         if held:
             yield finish(held)
 
-    dealt = regions.select("anchor", "region", "several", "size", "raw").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    dealt = regions.select("anchor", "region", "again", "size", "raw").repartition(parts, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, "anchor long, region long, spans array<int>")
 
 
-def _counted_windows(regions: DataFrame, width: int) -> DataFrame:
-    """The same for hot anchors: windows are counted by a 128-bit digest, with sums made before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for one in sliced(batch, 1 << 16):
-                anchor, region, offset, digest, several = [], [], [], [], []
-                for a, r, s, n, raw in zip(*(c.to_pylist() for c in one.columns)):
-                    anchor += [a] * n
-                    region += [r] * n
-                    several += [2 if s else 1] * n
-                    offset += range(n)
-                    digest += [xxhash.xxh3_128_digest(raw[k : k + width]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(region, pa.int64()), pa.array(offset, pa.int32()), pa.array(several, pa.int32()), pa.array(digest, pa.binary())], ["anchor", "region", "offset", "n", "digest"])
-
-    windows = stored(regions.select("anchor", "region", "several", "size", "raw").mapInArrow(run, "anchor long, region long, offset int, n int, digest binary"), "windows")
-    repeated = windows.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
-    return windows.join(repeated, "digest", "left_semi").select("anchor", "region", F.array("offset", F.col("offset") + 1).alias("spans"))
-
-
-def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
-    """(id, th, cuts array<int>): from-to byte pairs of the maximal runs to remove, for texts that have any."""
+def repeated_spans(rows: DataFrame, width: int, level: int = 0) -> DataFrame:
+    """(id, th, cuts array<int>): from-to byte pairs of the maximal runs to remove, for texts (strings or binaries) that have any."""
     spark = rows.sparkSession
-    found = stored(_regions(rows, width), "regions")
+    found = stored(_regions(rows, width, level), "regions")
     often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")
     few = often.count() <= MOST_BROADCAST // 2
     open_ = stored(found.join(F.broadcast(often) if few else often, "anchor", "left_semi"), "open")
-    firsts = [F.first(c).alias(c) for c in ("id", "th", "start", "size")]  # of one row, since all are taken together
-    distinct = stored(open_.groupBy("anchor", "region").agg(*firsts, F.count("*").alias("copies")), "distinct")
-    hot = stored(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_REGIONS).select("anchor", F.lit(2).alias("hot")), "hot")
-    total, windows, hot_ones = distinct.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).crossJoin(hot.agg(F.count("*"))).first()
-    marks = F.col("start") * 4 + F.coalesce("hot", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)
-    wanted = distinct.join(hot, "anchor", "left").groupBy("id", "th").agg(F.collect_list(marks).alias("marks"))
-    regions = _fetched(rows, wanted, total <= MOST_BROADCAST, width)
+    place = ("id", "th", "start")
+    # Each of the two is one row's, since all its columns are taken together; they differ where there are several rows.
+    ends = [f(c).alias(f"{name}_{c}") for name, f in (("first", F.first), ("last", F.last)) for c in place]
+    distinct = stored(open_.groupBy("anchor", "region").agg(*ends, F.first("size").alias("size"), F.count("*").alias("copies")), "distinct")
+    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_REGIONS) if level < 2 else distinct.limit(0)
+    hot = stored(hot.select("anchor", F.lit(2).alias("hot")), "hot")
+    hot_ones = hot.count()
+    twice = F.when(F.col("copies") > 1, 2).otherwise(1)
+    total, windows = distinct.agg(F.coalesce(F.sum(twice), F.lit(0)), F.coalesce(F.sum(F.col("size") * twice), F.lit(0))).first()
+    marked = distinct.join(hot, "anchor", "left")
+    mark = lambda c, again: F.col(c).cast("long") * 4 + F.coalesce("hot", F.lit(0)) + again
+    wanted = marked.select(F.col("first_id").alias("id"), F.col("first_th").alias("th"), mark("first_start", 0).alias("mark"))
+    wanted = wanted.union(marked.filter("copies > 1").select("last_id", "last_th", mark("last_start", 1))).groupBy("id", "th").agg(F.collect_list("mark").alias("marks"))
+    regions = _fetched(rows, wanted, total <= MOST_BROADCAST, width, level)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(windows + total * (width - 1)) // SHARD_BYTES))
     if hot_ones:
         regions = stored(regions, "fetched")
-        verdicts = _sorted_shards(regions.filter("not hot"), width, parts).union(_counted_windows(regions.filter("hot"), width))
+        texts = regions.filter("hot").select(F.col("anchor").alias("id"), F.col("region").alias("th"), F.col("raw").alias("text"))
+        # Bytes from i to j are covered by repeated windows; all windows in between cover the same bytes.
+        inner = repeated_spans(texts, width, level + 1).select(F.col("id").alias("anchor"), F.col("th").alias("region"), F.transform("cuts", lambda x, k: F.when(k % 2 == 1, x - (width - 1)).otherwise(x)).alias("spans"))
+        verdicts = _sorted_shards(regions.filter("not hot"), width, parts).union(inner)
     else:
         verdicts = _sorted_shards(regions, width, parts)
     verdicts = stored(verdicts, "verdicts")
@@ -270,12 +263,24 @@ def _aligned(raw: bytes, cut: list[int]) -> list[int]:
     return found
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, cuts array<int>, kept binary) per row, and the columns to keep.
+def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, cuts array<int>, kept binary) per row."""
+    return _cut(docs, width, id_col, text_col, (), False).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "cuts", "kept")
+
 
-    whole_characters: characters of which only some bytes would go are left, so that what is kept is valid UTF-8.
+def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with what is left as their text, all other columns as they are.
+
+    Characters of which only some bytes would go are left, so that the text is valid UTF-8. Null texts become empty.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    found = {id_col: F.col("id"), text_col: F.col("kept").cast("string")} | {c: F.col(f"keep_{k}") for k, c in enumerate(others)}
+    return _cut(docs, width, id_col, text_col, others, True).select(*[found[c].alias(c) for c in docs.columns])
+
+
+def _cut(docs: DataFrame, width: int, id_col: str, text_col: str, keep: tuple[str, ...], whole_characters: bool) -> DataFrame:
+    """(id, cuts, keep_0, .., n_bytes, n_removed, n_spans, kept binary) per row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)])
     rows = rows.withColumn("th", F.xxhash64("text"))
     cuts = stored(repeated_spans(rows.select("id", "th", "text"), width), "cuts")
     few = (cuts.agg(F.coalesce(F.sum(F.size("cuts") + 6), F.lit(0))).first()[0]) <= MOST_BROADCAST
@@ -299,5 +304,4 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
     met = rows.alias("d").join(F.broadcast(cuts).alias("c") if few else cuts.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.th") == F.col("c.th")), "left")
     schema = f"id {field_ddl(rows, 'id')}, cuts array<int>, " + "".join(f"{c} {field_ddl(rows, c)}, " for c in extra) + "n_bytes long, n_removed long, n_spans long, kept binary"
-    out = met.select("d.id", "c.cuts", *[f"d.{c}" for c in extra], "d.text").mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "cuts", "kept", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
+    return met.select("d.id", "c.cuts", *[f"d.{c}" for c in extra], "d.text").mapInArrow(run, schema)

@@ -12,6 +12,8 @@ empty result; columns besides those named aren't read.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +27,8 @@ from .common import field_ddl, sliced
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 8_000
+#: Bytes of the texts that the classifier is fitted on, at most.
+SAMPLE_BYTES = 200_000_000
 LEAST_POSITIVE = 20
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 17, 12, 8, (1, 2, 3)
 #: Bytes at a word's start and end that are pieces of it.
@@ -241,7 +245,8 @@ def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> tuple[Model, dict[str | None, float]]:
     """The model and the thresholds by language (None: all), from the documents of at most `sample` of the labels.
 
-    The sample's ids are chosen from the labels alone and broadcast (at most `sample` rows), so no text is shuffled.
+    The sample's ids are chosen from the labels alone and broadcast (at most `sample` rows), so no text is shuffled. Their texts come to the driver, at most
+    SAMPLE_BYTES of them; where they are more, documents that no longer fit are left out whole.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -252,7 +257,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     chosen = [(r.id, r.y, r.h) for kind in (True, False) for r in known.filter(F.col("y") == int(kind)).orderBy("h", "id").limit(most[kind]).collect()]
     ids = spark.createDataFrame(chosen, f"id {field_ddl(known, 'id')}, y int, h long")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    taken = [(r.h, r.text, r.y, r.lang) for r in rows.join(F.broadcast(ids), "id").collect()]
+    met = rows.join(F.broadcast(ids), "id")
+    sizes = sorted((r.h, r.id, r.n) for r in met.select("h", "id", F.octet_length("text").alias("n")).collect())
+    if sum(n for *_, n in sizes) > SAMPLE_BYTES:
+        # By their hashes' order the documents that still fit; whole texts, as many as the bound has room for.
+        room, kept = SAMPLE_BYTES, set()
+        for h, id_, n in sizes:
+            if n <= room:
+                room -= n
+                kept.add(id_)
+        met = rows.join(F.broadcast(spark.createDataFrame([c for c in chosen if c[0] in kept], ids.schema)), "id")
+    taken = [(r.h, r.text, r.y, r.lang) for r in met.collect()]
     taken.sort(key=lambda r: (r[0], r[1], r[2]))
     texts, y, langs = [r[1] for r in taken], np.array([int(r[2] > 0) for r in taken], np.int64), [r[3] for r in taken]
     apart = np.arange(len(texts)) % 5 == 4
@@ -274,13 +289,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return model, thresholds
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def scored(docs: DataFrame, model: Model, thresholds: dict[str | None, float], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, score, toxic): toxic by the threshold of the row's language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by BUCKETS and SIZE: 6 MB
-    mark = zlib.crc32(model.embeddings.tobytes()[: 1 << 20])
+    mark = hashlib.sha256(pickle.dumps(model)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _SCORERS:

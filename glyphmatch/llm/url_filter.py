@@ -142,6 +142,8 @@ def judged(pages: DataFrame, rules: list[Rule], order: int = ORDER, id_col: str
     by_text = stored(met.groupBy("text", "by_rule").agg(F.avg("score").alias("score")), "url-texts")
     cut = _threshold(by_text.filter("by_rule is not null").select(F.col("by_rule").alias("verdict"), "score"))
     open_ = by_text.filter("by_rule is null").select("text", "score")
-    found = rows.withColumn("text", F.when(F.col("by_rule").isNull(), F.col("text"))).join(open_, "text", "left")
+    # Ruled rows aren't joined: their null keys would meet in one task.
     own = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
-    return found.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), "score")
+    scored = rows.filter("by_rule is null").join(open_, "text", "left").select("id", "host", "path", "rule", own.alias("verdict"), "score")
+    ruled_ = rows.filter("by_rule is not null").select("id", "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return scored.union(ruled_).withColumnRenamed("id", id_col)

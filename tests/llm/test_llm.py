@@ -44,7 +44,8 @@ def corpus():
 
 def table(spark, rows):
     """With a column too many, and one whose name clashes with those used inside."""
-    return spark.createDataFrame(rows, DOCS).withColumns({"id": F.lit("clash"), "th": F.lit(1), "text_2": F.lit(None).cast("string")})
+    clashes = ("id", "th", "_id", "_th", "id_", "place", "line", "component", "h1", "h2", "places", "anchor", "region", "cuts", "kept", "n_bytes", "n", "key", "votes", "p_good", "dropped", "bucket", "D", "r.id")
+    return spark.createDataFrame(rows, DOCS).withColumns({"text_2": F.lit(None).cast("string")} | {c: F.lit(f"clash {c}") for c in clashes})
 
 
 def by_id(df, *columns):
@@ -178,7 +179,9 @@ def test_lines_by_brute_force(spark, corpus):
         expected[d] = ("\n".join(kept) if kept is not None else None, n, n - sum(not blank(x) for x in kept or []))
     found = line_dedup.deduplicated(table(spark, corpus))
     assert by_id(found, "text", "n_lines", "n_removed") == expected
-    assert {"lang", "id", "th", "text_2"} <= set(found.columns)
+    assert {"lang", "id", "th", "text_2", "r.id"} <= set(found.columns)
+    again = line_dedup.deduplicated(table(spark, corpus).withColumns({"n_lines": F.lit(-1), "n_removed": F.lit(-2)}), counts=False)
+    assert {(r.n_lines, r.n_removed) for r in again.collect()} == {(-1, -2)}
 
 
 def test_lines_of_nothing(spark):
@@ -352,6 +355,22 @@ def test_suffix_array(monkeypatch, large):
         assert induced.suffix_array(np.array(text), sigma + 1).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_suffix_array_of_long_text():
+    """Deep recursion over many names, beside an array by doubling the compared length."""
+    rng = random.Random(8)
+    text = np.array([ord(c) for c in " ".join(rng.choice(["an", "other", "word", "words", "and", "the", "then"]) for _ in range(6_000))] * 2 + [0])
+    rank, length = text.astype(np.int64), 1
+    while True:
+        key = rank * (len(text) + 300) + np.append(rank[length:] + 1, np.zeros(min(length, len(text)), np.int64))[: len(text)]
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.append(0, np.cumsum(np.diff(key[order]) > 0))
+        if rank.max() == len(text) - 1:
+            break
+        length *= 2
+    assert (induced.suffix_array(text, 256) == order).all()
+
+
 def test_common_prefixes():
     rng = random.Random(2)
     raw = bytes(rng.choice(b"ab") for _ in range(400)) + b"ab" * 100
@@ -400,9 +419,13 @@ def test_repeats_in_long_texts(spark, monkeypatch):
 def test_repeats_of_nothing(spark):
     assert suffix.without_repeats(table(spark, [])).count() == 0
     rows = [(1, "ab" * 150, "", "", 0), (1, "ab" * 150, "", "", 0), (None, "ab" * 150, "", "", 0), (2, "é" * 120, "", "", 0), (3, "xé" + "é" * 120, "", "", 0)]
-    found = suffix.without_repeats(table(spark, rows), keep=("lang",), whole_characters=True).collect()
+    found = suffix.without_repeats(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_removed) for r in found) == Counter([(1, 300), (1, 300), (None, 300), (2, 240), (3, 242)])
-    assert all(bytes(r.kept).decode() is not None for r in found)
+    rows = [(4, "x" + "é" * 120, "", "", 0), (5, "é" * 100 + "a", "", "", 0), (6, "\u0129" + "\u00e9" * 99 + "y", "", "", 0), (7, "\u0169" + "\u00e9" * 99 + "z", "", "", 0)]
+    docs = table(spark, rows).withColumns({"kept": F.lit(1), "cuts": F.lit(2), "n_bytes": F.lit(3), "keep_0": F.lit(4)})
+    found = suffix.deduplicated(docs)
+    assert found.columns == docs.columns and {(r.kept, r.cuts, r.n_bytes, r.keep_0) for r in found.collect()} == {(1, 2, 3, 4)}
+    assert {r.doc_id: r.text for r in found.collect()} == {4: "x", 5: "a", 6: "\u0129" + "\u00e9" * 99 + "y", 7: "\u0169" + "\u00e9" * 99 + "z"}
 
 
 # ---- 7: byte pairs ----
