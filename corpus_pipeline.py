@@ -46,9 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 200 bytes that occur elsewhere too."""
     _prepare(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = suffix.without_repeats(docs, width=200, keep=others, whole_characters=True)
-    return _with_words(found.withColumn("text", F.col("kept").cast("string")), docs.columns)
+    return _with_words(suffix.deduplicated(docs, width=200), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
