@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle
-from .functions.metrics import seq_dist, seq_sim, stringdist, stringsim
+from .functions.metrics import seq_dist, seq_sim, text_distance, text_similarity
 from .functions.phonetic import phonetic, printable_ascii
 from .operators import grams, match, pairs, search
 from .sources import table
@@ -68,20 +68,20 @@ for _name, _method, _how in (
     ("dist_jaccard_q2", "jaccard", {"q": 2}),
     ("dist_soundex", "soundex", {}),
 ):
-    _add(_name, _pair_query(lambda a, b, m=_method, h=_how: stringdist(a, b, m, **h), "dist"), _pair_sql(_SQL_OF[_method]("x.s", "y.s", **_how), "dist"))
+    _add(_name, _pair_query(lambda a, b, m=_method, h=_how: text_distance(a, b, m, **h), "dist"), _pair_sql(_SQL_OF[_method]("x.s", "y.s", **_how), "dist"))
 
-_add("dist_qgram_q0", _pair_query(lambda a, b: stringdist(a, b, "qgram", q=0), "dist"), _pair_sql("0", "dist"))
-_add("dist_dl_weighted", _pair_query(lambda a, b: stringdist(a, b, "dl", weight=(1, 1, 1, 0.5)), "dist"), None)
+_add("dist_qgram_q0", _pair_query(lambda a, b: text_distance(a, b, "qgram", q=0), "dist"), _pair_sql("0", "dist"))
+_add("dist_dl_weighted", _pair_query(lambda a, b: text_distance(a, b, "dl", weight=(1, 1, 1, 0.5)), "dist"), _pair_sql(oracle.damerau("x.s", "y.s", (1, 1, 1, 0.5)), "dist"))
 
 for _name, _how in (("dist_jaro", {}), ("dist_jw_p01", {"p": 0.1}), ("dist_jw_bt", {"p": 0.1, "bt": 0.3}), ("dist_jw_weighted", {"weight": (0.5, 1, 0.75)})):
     _query = oracle.jaro("(SELECT x.s AS a, y.s AS b FROM n x, n y)", "a", "b", **_how)
-    _add(_name, _pair_query(lambda a, b, h=_how: stringdist(a, b, "jw", **h), "dist"), f"WITH {_NAMES} SELECT a, b, round(jw, {DIGITS})::DOUBLE AS dist FROM ({_query})")
+    _add(_name, _pair_query(lambda a, b, h=_how: text_distance(a, b, "jw", **h), "dist"), f"WITH {_NAMES} SELECT a, b, round(jw, {DIGITS})::DOUBLE AS dist FROM ({_query})")
 _query = oracle.jaro("(SELECT x.s AS a, y.s AS b FROM n x, n y)", "a", "b")
-_add("sim_jw", _pair_query(lambda a, b: stringsim(a, b, "jw"), "sim"), f"WITH {_NAMES} SELECT a, b, round(1 - jw, {DIGITS})::DOUBLE AS sim FROM ({_query})")
+_add("sim_jw", _pair_query(lambda a, b: text_similarity(a, b, "jw"), "sim"), f"WITH {_NAMES} SELECT a, b, round(1 - jw, {DIGITS})::DOUBLE AS sim FROM ({_query})")
 
 for _method in ("osa", "lv", "dl", "lcs", "qgram", "cosine", "jaccard", "soundex"):
     _q = 2 if _method in ("qgram", "cosine", "jaccard") else 1
-    _add(f"sim_{_method}", _pair_query(lambda a, b, m=_method, q=_q: stringsim(a, b, m, q=q), "sim"), _pair_sql(oracle.similarity(_SQL_OF[_method]("x.s", "y.s", q=_q), "x.s", "y.s", _method, _q), "sim"))
+    _add(f"sim_{_method}", _pair_query(lambda a, b, m=_method, q=_q: text_similarity(a, b, m, q=q), "sim"), _pair_sql(oracle.similarity(_SQL_OF[_method]("x.s", "y.s", q=_q), "x.s", "y.s", _method, _q), "sim"))
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +91,26 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.withColumnRenamed("c_name", "a").join(other, "c_custkey")
 
 
+def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands on each line of an order with what stands on the next: pairs that grow with the tables."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    parts = table(spark, sf_dir, "part", "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("a"))
+    following = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p_partkey").alias("q_partkey"))
+    met = lines.join(following, ["l_orderkey", "l_linenumber"]).join(parts, "p_partkey")
+    return met.join(parts.select(F.col("p_partkey").alias("q_partkey"), F.col("a").alias("b")), "q_partkey").select("l_orderkey", "l_linenumber", "a", "b")
+
+
+_LINES = "FROM lineitem l JOIN lineitem m ON m.l_orderkey = l.l_orderkey AND m.l_linenumber = l.l_linenumber + 1 JOIN part p ON p.p_partkey = l.l_partkey JOIN part r ON r.p_partkey = m.l_partkey"
+_A, _B = (f"concat_ws(' ', {t}.p_name, {t}.p_type, {t}.p_brand)" for t in "pr")
+for _method, _sql in (("lv", f"levenshtein({_A}, {_B})"), ("dl", f"damerau_levenshtein({_A}, {_B})")):
+    _add(
+        f"lines_{_method}",
+        lambda spark, sf_dir, m=_method: _line_pairs(spark, sf_dir).select("l_orderkey", "l_linenumber", text_distance("a", "b", m).alias("dist")),
+        f"SELECT l.l_orderkey, l.l_linenumber, {_sql}::DOUBLE AS dist {_LINES}",
+    )
+
 _CUSTOMERS = "FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1"
-for _name, _of, _label in (("dist_hamming", stringdist, "dist"), ("sim_hamming", stringsim, "sim")):
+for _name, _of, _label in (("dist_hamming", text_distance, "dist"), ("sim_hamming", text_similarity, "sim")):
     _value = oracle.hamming("x.c_name", "y.c_name")
     _value = _value if _label == "dist" else oracle.similarity(_value, "x.c_name", "y.c_name", "hamming")
     _add(
@@ -106,7 +124,7 @@ def bytes_lv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's whole text with the next one's."""
     talk = table(spark, sf_dir, "conversations", "conv_id", "turn", F.col("text").alias("a"))
     following = talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
-    return talk.join(following, ["conv_id", "turn"]).select("conv_id", "turn", stringdist("a", "b", "lv", use_bytes=True).alias("dist"), F.round(stringsim("a", "b", "lv", use_bytes=True), DIGITS).alias("sim"))
+    return talk.join(following, ["conv_id", "turn"]).select("conv_id", "turn", text_distance("a", "b", "lv", use_bytes=True).alias("dist"), F.round(text_similarity("a", "b", "lv", use_bytes=True), DIGITS).alias("sim"))
 
 
 _bytes = "levenshtein(x.text, y.text)"
@@ -132,17 +150,17 @@ _NATIONS = "n AS (SELECT n_nationkey::BIGINT AS pos, n_name AS s FROM nation)"
 _BRANDS = "m AS (SELECT row_number() OVER (ORDER BY p_brand) AS pos, p_brand AS s FROM (SELECT DISTINCT p_brand FROM part))"
 _add(
     "distmatrix",
-    lambda spark, sf_dir: pairs.stringdistmatrix(_nations(spark, sf_dir), _brands(spark, sf_dir), method="osa", use_names="strings"),
+    lambda spark, sf_dir: pairs.distance_matrix(_nations(spark, sf_dir), _brands(spark, sf_dir), method="osa", use_names="strings"),
     f"WITH {_NATIONS}, {_BRANDS} SELECT n.pos AS i, m.pos AS j, n.s AS label_i, m.s AS label_j, {oracle.edit('n.s', 'm.s', swaps=True)} AS dist FROM n, m",
 )
 _add(
     "distmatrix_lower",
-    lambda spark, sf_dir: pairs.stringdistmatrix(_brands(spark, sf_dir), method="lv", weight=(0.5, 1, 0.75)),
+    lambda spark, sf_dir: pairs.distance_matrix(_brands(spark, sf_dir), method="lv", weight=(0.5, 1, 0.75)),
     f"WITH {_BRANDS} SELECT x.pos AS i, y.pos AS j, {oracle.edit('y.s', 'x.s', (0.5, 1, 0.75, 1))} AS dist FROM m x JOIN m y ON x.pos > y.pos",
 )
 _add(
     "simmatrix",
-    lambda spark, sf_dir: pairs.stringsimmatrix(_brands(spark, sf_dir), method="lv").withColumn("sim", F.round("sim", DIGITS)),
+    lambda spark, sf_dir: pairs.similarity_matrix(_brands(spark, sf_dir), method="lv").withColumn("sim", F.round("sim", DIGITS)),
     f"WITH {_BRANDS} SELECT x.pos AS i, y.pos AS j, round(1 - levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s)), {DIGITS})::DOUBLE AS sim FROM m x, m y",
 )
 
@@ -270,6 +288,11 @@ _add(
     "SELECT p_brand AS name, '' AS qgram, count(*) FILTER (p_partkey % 3 = 0) AS n FROM part GROUP BY p_brand",
 )
 _add("phonetic", lambda spark, sf_dir: table(spark, sf_dir, "conversations", "conv_id", "turn", phonetic("text").alias("code")), f"SELECT conv_id, turn, {oracle.soundex('text')} AS code FROM conversations")
+_add(
+    "phonetic_bytes",
+    lambda spark, sf_dir: table(spark, sf_dir, "conversations", "conv_id", "turn", phonetic("text", use_bytes=True).alias("code")).filter("turn = 0"),
+    f"SELECT conv_id, turn, {oracle.soundex('t')} AS code FROM (SELECT conv_id, turn, {oracle.latin('text')} AS t FROM conversations WHERE turn = 0)",
+)
 _add("printable_ascii", lambda spark, sf_dir: table(spark, sf_dir, "documents", "doc_id", printable_ascii("text").alias("printable")), "SELECT doc_id, NOT regexp_matches(text, '[^ -~]') AS printable FROM documents")
 
 # ---- integer sequences: the kinds of each user's and each day's events in order ----
@@ -316,8 +339,19 @@ for _method in ("osa", "lv", "lcs", "hamming", "qgram", "cosine", "jaccard"):
         lambda spark, sf_dir, m=_method, h=_how: _neighbours(spark, sf_dir).select("i", "j", F.round(seq_dist("a", "b", m, **h), DIGITS).alias("dist")),
         f"WITH {_USERS} SELECT x.pos AS i, y.pos AS j, round({_SQL_OF[_method]('x.s', 'y.s', of=oracle.Items, **_how)}, {DIGITS})::DOUBLE AS dist {_NEIGHBOURS}",
     )
-for _method in ("dl", "jw"):
-    _add(f"seq_dist_{_method}", lambda spark, sf_dir, m=_method: _neighbours(spark, sf_dir).select("i", "j", F.round(seq_dist("a", "b", m), DIGITS).alias("dist")), None)
+# A letter for each number: Damerau-Levenshtein of plain letters is built in, Jaro is written for texts.
+_letters = "array_to_string(list_transform(s, lambda z: chr(96 + z)), '')"
+_pairs_of_letters = f"SELECT x.pos AS i, y.pos AS j, x.t AS a, y.t AS b FROM (SELECT pos, {_letters} AS t FROM v) x JOIN (SELECT pos, {_letters} AS t FROM v) y ON y.pos = x.pos + 1"
+for _method, _sql in (
+    ("dl", f"WITH {_USERS} SELECT i, j, damerau_levenshtein(a, b)::DOUBLE AS dist FROM ({_pairs_of_letters})"),
+    ("jw", f"WITH {_USERS} SELECT i, j, round(jw, {DIGITS})::DOUBLE AS dist FROM ({oracle.jaro(f'({_pairs_of_letters})', 'a', 'b')})"),
+):
+    _add(f"seq_dist_{_method}", lambda spark, sf_dir, m=_method: _neighbours(spark, sf_dir).select("i", "j", F.round(seq_dist("a", "b", m), DIGITS).alias("dist")), _sql)
+_add(
+    "seq_simmatrix",
+    lambda spark, sf_dir: pairs.seq_simmatrix(_days(spark, sf_dir), _days(spark, sf_dir), method="jaccard", q=2).withColumn("sim", F.round("sim", DIGITS)),
+    f"WITH {_DAYS} SELECT x.pos AS i, y.pos AS j, round(1 - {oracle.gram_distance('x.s', 'y.s', 'jaccard', 2, oracle.Items)}, {DIGITS})::DOUBLE AS sim FROM t x, t y",
+)
 _add(
     "seq_sim",
     lambda spark, sf_dir: _neighbours(spark, sf_dir).select("i", "j", F.round(seq_sim("a", "b", "osa"), DIGITS).alias("sim")),

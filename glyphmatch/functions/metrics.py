@@ -98,12 +98,12 @@ def similarity(d: Column, a: Column, b: Column, o: Options, of_text: bool = True
     return F.when(F.isnan(found), found).when(found < 0, 0.0).otherwise(found)
 
 
-def stringdist(a: Column | str, b: Column | str, method: str = "osa", weight: Sequence[float] | None = None, q: float = 1, p: float = 0.0, bt: float = 0.0, use_bytes: bool = False, nthread: float | None = None) -> Column:
+def text_distance(a: Column | str, b: Column | str, method: str = "osa", weight: Sequence[float] | None = None, q: float = 1, p: float = 0.0, bt: float = 0.0, use_bytes: bool = False, nthread: float | None = None) -> Column:
     """Distance of two string columns."""
     return distance(column(a).cast("string"), column(b).cast("string"), options(method, weight, q, p, bt, use_bytes, nthread))
 
 
-def stringsim(a: Column | str, b: Column | str, method: str = "osa", weight: Sequence[float] | None = None, q: float = 1, p: float = 0.0, bt: float = 0.0, use_bytes: bool = False, nthread: float | None = None) -> Column:
+def text_similarity(a: Column | str, b: Column | str, method: str = "osa", weight: Sequence[float] | None = None, q: float = 1, p: float = 0.0, bt: float = 0.0, use_bytes: bool = False, nthread: float | None = None) -> Column:
     """Similarity from 0 to 1 of two string columns."""
     a, b, o = column(a).cast("string"), column(b).cast("string"), options(method, weight, q, p, bt, use_bytes, nthread)
     return similarity(distance(a, b, o), a, b, o)

@@ -10,14 +10,17 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LETTER_CLASSES = "a123a12ha22455a12623a1h2a2"
 
 
-def phonetic(text: Column | str, method: str = "soundex") -> Column:
+def phonetic(text: Column | str, method: str = "soundex", use_bytes: bool = False) -> Column:
     """Soundex code of four characters. Letters of a class that follow each other, with silent ones between, count once; vowels part them.
 
     Characters outside printable ASCII have the class `?`. Empty gives 0000, null null.
+    use_bytes: each byte of the UTF-8 text counts as a character, so one outside ASCII gives as many marks as it has bytes.
     """
     if method != "soundex":
         raise ValueError("the only phonetic method is soundex")
     text = F.col(text) if isinstance(text, str) else text
+    if use_bytes:
+        text = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
     ascii_ = F.regexp_replace(text, r"(?s)[^ -~]", "?")
     lower = F.translate(ascii_, _LETTERS.upper(), _LETTERS)
     # A question mark in the text is a mark like others; what stands for other characters is told apart first.

@@ -8,23 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import _present, distance
-from ..options import options
+from ..options import Options, options
 from ..plans.pruning import candidates
 
 
-def _matched(x: DataFrame, table: DataFrame, id_col: str, x_col: str, pos_col: str, t_col: str, most: float, of_text: bool, nomatch: int | None, match_na: bool, how: dict) -> DataFrame:
-    o = options(**how)
+def _sides(x: DataFrame, table: DataFrame, id_col: str, x_col: str, pos_col: str, t_col: str, most: float, of_text: bool) -> tuple[DataFrame, DataFrame]:
     if of_text and not most > 0:
         raise ValueError("max_dist must be above 0")
     value = (lambda c: F.col(c).cast("string")) if of_text else (lambda c: _present(F.col(c).cast("array<int>")))
-    rows = x.select(F.col(id_col).alias("id"), value(x_col).alias("x"))
-    entries = table.select(F.col(pos_col).alias("pos"), value(t_col).alias("t"))
+    return x.select(F.col(id_col).alias("id"), value(x_col).alias("x")), table.select(F.col(pos_col).alias("pos"), value(t_col).alias("t"))
+
+
+def _within(x: DataFrame, t: DataFrame, o: Options, most: float, of_text: bool) -> DataFrame:
+    """(x, t, d) of distinct values that lie within the distance."""
+    near = candidates(x, t, o, most, of_text).withColumn("d", distance(F.col("t"), F.col("x"), o, of_text))
+    return near.filter((F.col("d") <= most) & ~F.isnan("d") & (F.col("d") < math.inf))
+
+
+def _matched(x: DataFrame, table: DataFrame, id_col: str, x_col: str, pos_col: str, t_col: str, most: float, of_text: bool, nomatch: int | None, match_na: bool, how: dict) -> DataFrame:
+    o = options(**how)
+    rows, entries = _sides(x, table, id_col, x_col, pos_col, t_col, most, of_text)
     # Equal values give equal distances: each is compared once, by the first position it has.
     firsts = entries.filter("t is not null").groupBy("t").agg(F.min("pos").alias("pos"))
     asked = rows.filter("x is not null").select("x").distinct()
-    pairs = candidates(asked, firsts.select("t"), o, most, of_text)
-    d = distance(F.col("t"), F.col("x"), o, of_text)
-    near = pairs.withColumn("d", d).filter((F.col("d") <= most) & ~F.isnan("d") & (F.col("d") < math.inf))
+    near = _within(asked, firsts.select("t"), o, most, of_text)
     near = near.withColumn("d", F.when(F.abs("d") < 1e-14, 0.0).otherwise(F.col("d")))
     best = near.join(firsts, "t").groupBy("x").agg(F.min(F.struct("d", "pos")).alias("best"))
     found = rows.join(best.select("x", F.col("best.pos").alias("match"), F.col("best.d").alias("dist")), "x", "left")
@@ -45,8 +52,25 @@ def amatch(x: DataFrame, table: DataFrame, id_col: str = "id", x_col: str = "x",
 
 def ain(x: DataFrame, table: DataFrame, id_col: str = "id", x_col: str = "x", pos_col: str = "pos", t_col: str = "t", max_dist: float = 0.1, match_na: bool = True, **how) -> DataFrame:
     """(id, found boolean): whether the table has an entry within max_dist of x."""
-    met = amatch(x, table, id_col, x_col, pos_col, t_col, max_dist, None, match_na, **how)
-    return met.select(id_col, F.col("match").isNotNull().alias("found"))
+    return _member(x, table, id_col, x_col, pos_col, t_col, float(max_dist), True, match_na, how)
+
+
+def _member(x: DataFrame, table: DataFrame, id_col: str, x_col: str, pos_col: str, t_col: str, most: float, of_text: bool, match_na: bool, how: dict) -> DataFrame:
+    """No nearest one is sought: values that the table has need no distance, the others a single near entry."""
+    o = options(**how)
+    rows, entries = _sides(x, table, id_col, x_col, pos_col, t_col, most, of_text)
+    asked, known = rows.filter("x is not null").select("x").distinct(), entries.filter("t is not null").select("t").distinct()
+    same = asked.join(known, F.col("x") == F.col("t"), "left_semi")
+    if o.method == "jw" and not o.unit_weights:  # there equal values may lie apart
+        found = _within(asked, known, o, most, of_text).select("x").distinct()
+    else:
+        other = asked.join(known, F.col("x") == F.col("t"), "left_anti")
+        found = same.union(_within(other, known, o, most, of_text).select("x").distinct())
+    flagged = rows.join(found.withColumn("found", F.lit(True)), "x", "left").withColumn("found", F.col("found").isNotNull())
+    if match_na:
+        missing = entries.filter("t is null").agg((F.count("*") > 0).alias("na"))  # one row
+        flagged = flagged.crossJoin(F.broadcast(missing)).withColumn("found", F.when(F.col("x").isNull(), F.col("na")).otherwise(F.col("found")))
+    return flagged.select(F.col("id").alias(id_col), "found")
 
 
 def seq_amatch(x: DataFrame, table: DataFrame, id_col: str = "id", x_col: str = "x", pos_col: str = "pos", t_col: str = "t", max_dist: float = 0.1, nomatch: int | None = None, match_na: bool = True, **how) -> DataFrame:
@@ -55,5 +79,4 @@ def seq_amatch(x: DataFrame, table: DataFrame, id_col: str = "id", x_col: str =
 
 
 def seq_ain(x: DataFrame, table: DataFrame, id_col: str = "id", x_col: str = "x", pos_col: str = "pos", t_col: str = "t", max_dist: float = 0.1, match_na: bool = True, **how) -> DataFrame:
-    met = seq_amatch(x, table, id_col, x_col, pos_col, t_col, max_dist, None, match_na, **how)
-    return met.select(id_col, F.col("match").isNotNull().alias("found"))
+    return _member(x, table, id_col, x_col, pos_col, t_col, float(max_dist), False, match_na, how)

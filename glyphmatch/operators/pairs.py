@@ -1,7 +1,7 @@
 """All pairs, lower triangles, similarity matrices and positional pairing, as long tables.
 
 All-pairs results are as large as their definition says; their inputs are meant to be lookup-sized. The smaller side is broadcast
-only if it has at most `MOST_BROADCAST` rows; else Spark's own choice stands.
+only if it has at most `MOST_BROADCAST` rows and `MOST_BROADCAST_BYTES` bytes; else Spark's own choice stands.
 """
 
 from __future__ import annotations
@@ -11,13 +11,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import seq_dist, seq_sim, stringdist, stringsim
+from ..functions.metrics import seq_dist, seq_sim, text_distance, text_similarity
 
 MOST_BROADCAST = 100_000
+MOST_BROADCAST_BYTES = 32_000_000
 
 
-def _small(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has."""
+    of = lambda c, kind: F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 8 if kind.startswith("array") else F.lit(8)
+    return sum((F.coalesce(of(F.col(c), kind), F.lit(0)) for c, kind in df.dtypes), F.lit(0))
+
+
+def _small(df: DataFrame, rows: int = MOST_BROADCAST, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """The table, to be broadcast if it is proven small: no more rows are looked at than may be broadcast."""
+    found = df.select(_bytes(df).cast("long").alias("n")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if found[0] <= rows and found[1] <= most_bytes else df
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -44,11 +53,11 @@ def _names(use_names: str | bool) -> str:
     return found
 
 
-def stringdistmatrix(a: DataFrame, b: DataFrame | None = None, pos: str = "pos", value: str = "s", use_names: str | bool = "none", label: str | None = None, **how) -> DataFrame:
+def distance_matrix(a: DataFrame, b: DataFrame | None = None, pos: str = "pos", value: str = "s", use_names: str | bool = "none", label: str | None = None, **how) -> DataFrame:
     """(i, j, [label_i, label_j], dist): all pairs of a and b, or of a alone those with i > j, where the cost runs from i to j."""
     if b is not None:
-        return _matrix(a, b, lambda x, y: stringdist(x, y, **how), "dist", pos, value, _names(use_names), label)
-    return lower_triangle(a, lambda x, y: stringdist(y, x, **how), pos, value, _names(use_names), label)
+        return _matrix(a, b, lambda x, y: text_distance(x, y, **how), "dist", pos, value, _names(use_names), label)
+    return lower_triangle(a, lambda x, y: text_distance(y, x, **how), pos, value, _names(use_names), label)
 
 
 def lower_triangle(a: DataFrame, of: Callable[[Column, Column], Column], pos: str, value: str, use_names: str = "none", label: str | None = None) -> DataFrame:
@@ -59,9 +68,9 @@ def lower_triangle(a: DataFrame, of: Callable[[Column, Column], Column], pos: st
     return met.select(*kept, of(F.col("value_i"), F.col("value_j")).alias("dist"))
 
 
-def stringsimmatrix(a: DataFrame, b: DataFrame | None = None, pos: str = "pos", value: str = "s", use_names: str | bool = "none", label: str | None = None, **how) -> DataFrame:
+def similarity_matrix(a: DataFrame, b: DataFrame | None = None, pos: str = "pos", value: str = "s", use_names: str | bool = "none", label: str | None = None, **how) -> DataFrame:
     """(i, j, [label_i, label_j], sim). Of a alone: the lower triangle, mirrored, with ones for the diagonal (null for null)."""
-    of = lambda x, y: stringsim(x, y, **how)
+    of = lambda x, y: text_similarity(x, y, **how)
     if b is not None:
         return _matrix(a, b, of, "sim", pos, value, _names(use_names), label)
     return _mirrored(a, lambda x, y: of(y, x), pos, value, _names(use_names), label)
@@ -96,6 +105,6 @@ def pairwise(a: DataFrame, b: DataFrame, pos: str = "pos", value: str = "s", **h
     n = min(na, nb)
     left = long.select(F.col(pos).alias("pos"), F.col(value).alias("long"), F.pmod(F.col(pos) - 1, F.lit(n)).alias("k"))
     right = short.select(F.col(value).alias("short"), F.pmod(F.col(pos) - 1, F.lit(n)).alias("k"))
-    met = left.join(right, "k")
+    met = left.join(_small(right), "k")  # the short side's positions would be hot keys of a shuffle
     x, y = ("long", "short") if na >= nb else ("short", "long")
-    return met.select("pos", stringdist(x, y, **how).alias("dist"))
+    return met.select("pos", text_distance(x, y, **how).alias("dist"))

@@ -12,41 +12,57 @@ from ..functions.encode import Codes, from_texts
 from ..functions.metrics import byte_text, column
 from ..functions.phonetic import phonetic
 from ..options import METHODS, RUNNING, Options, options
-from .pairs import _small, _spread
+from .pairs import _small
 
 #: Windows that are compared at a time.
 _WINDOWS = 1 << 14
 
 
-def _best_window(text: str, pattern: str, window: int, o: Options) -> tuple[int, float]:
-    """Place, from 1, and distance of the first of the nearest windows; infinite if none is comparable."""
-    if o.use_bytes:
-        text, pattern = text.encode().decode("latin-1"), pattern.encode().decode("latin-1")
-    codes, wanted = from_texts([text]).values, from_texts([pattern]).values
-    if window >= len(codes):
-        d = kernels.distances(_tiled(wanted, 1), Codes(codes, np.array([len(codes)])), o)[0]
-        return 1, float("inf") if np.isnan(d) else float(d)
-    count = len(codes) - window + 1
-    best, place = float("inf"), 1
-    for at in range(0, count, _WINDOWS):
-        n = min(_WINDOWS, count - at)
-        if window:
-            views = np.lib.stride_tricks.sliding_window_view(codes[at : at + n + window - 1], window)
-            # Equal windows are compared once; texts repeat many of them.
-            rows, first, inverse = np.unique(views, axis=0, return_index=True, return_inverse=True) if n > 64 and window <= 4 else (views, None, None)
-            d = kernels.distances(_tiled(wanted, len(rows)), Codes(np.ascontiguousarray(rows).ravel(), np.full(len(rows), window)), o)
-            d = d[inverse.ravel()] if inverse is not None else d
-        else:
-            d = kernels.distances(_tiled(wanted, n), Codes(np.zeros(0, np.int64), np.zeros(n, np.int64)), o)
-        d = np.where(np.isnan(d), np.inf, d)
-        k = int(d.argmin())
-        if d[k] < best:
-            best, place = float(d[k]), at + k + 1
-    return place, best
-
+def best_windows(texts: list, patterns: list, sizes: list, o: Options) -> pa.Array:
+    """struct(location from 1, distance) for each text: the first of its nearest windows; infinite if none is comparable, null where an input is.
 
-def _tiled(values: np.ndarray, n: int) -> Codes:
-    return Codes(np.tile(values, n), np.full(n, len(values)))
+    Windows of texts that follow each other are compared in one go; those of a long text in several.
+    """
+    plain = (lambda s: s.encode().decode("latin-1")) if o.use_bytes else (lambda s: s)
+    known: dict[str, np.ndarray] = {}
+    best: list = [None if None in row else [1, float("inf")] for row in zip(texts, patterns, sizes)]
+    held: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []  # row, offset, windows, their codes, the pattern's
+
+    def compare() -> None:
+        if not held:
+            return
+        wanted = Codes(np.concatenate([np.tile(p, n) for _, _, n, _, p in held]), np.concatenate([np.full(n, len(p)) for _, _, n, _, p in held]))
+        shown = Codes(np.concatenate([w.ravel() for *_, w, _ in held]), np.concatenate([np.full(n, w.shape[1]) for _, _, n, w, _ in held]))
+        d = kernels.distances(wanted, shown, o)
+        d = np.where(np.isnan(d), np.inf, d)
+        at = 0
+        for row, offset, n, *_ in held:
+            k = int(d[at : at + n].argmin())
+            if d[at + k] < best[row][1]:
+                best[row] = [offset + k + 1, float(d[at + k])]
+            at += n
+        held.clear()
+
+    waiting = 0
+    for row, (text, pattern, size) in enumerate(zip(texts, patterns, sizes)):
+        if best[row] is None:
+            continue
+        if pattern not in known:
+            known[pattern] = from_texts([plain(pattern)]).values
+        codes = from_texts([plain(text)]).values
+        size = min(size, len(codes))
+        count = len(codes) - size + 1
+        for at in range(0, count, _WINDOWS):
+            n = min(_WINDOWS, count - at)
+            views = np.lib.stride_tricks.sliding_window_view(codes[at : at + n + size - 1], size) if size else np.zeros((n, 0), np.int64)
+            held.append((row, at, n, views, known[pattern]))
+            waiting += n
+            if waiting >= _WINDOWS:
+                compare()
+                waiting = 0
+    compare()
+    kind = pa.struct([("location", pa.int32()), ("distance", pa.float64())])
+    return pa.array([b and {"location": b[0], "distance": b[1]} for b in best], kind)
 
 
 def best_window(text: Column | str, pattern: Column | str, window: Column | int | None, o: Options) -> Column:
@@ -58,8 +74,7 @@ def best_window(text: Column | str, pattern: Column | str, window: Column | int
         return _native(text, pattern, width, o)
 
     def run(x: pa.Array, y: pa.Array, w: pa.Array) -> pa.Array:
-        found = [None if a is None or b is None or n is None else _best_window(a, b, n, o) for a, b, n in zip(x.to_pylist(), y.to_pylist(), w.to_pylist())]
-        return pa.array([None if f is None else {"location": f[0], "distance": f[1]} for f in found], pa.struct([("location", pa.int32()), ("distance", pa.float64())]))
+        return best_windows(x.to_pylist(), y.to_pylist(), w.to_pylist(), o)
 
     run.__annotations__ = {"x": pa.Array, "y": pa.Array, "w": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "location int, distance double")(text, pattern, width.cast("int"))
@@ -99,7 +114,7 @@ def afind(texts: DataFrame, patterns: DataFrame, i_col: str = "i", text_col: str
     left = texts.select(F.col(i_col).alias("i"), F.col(text_col).cast("string").alias("text"))
     right = patterns.select(F.col(j_col).alias("j"), F.col(pattern_col).cast("string").alias("pattern"), *([F.col(window).alias("window")] if isinstance(window, str) else []))
     width = F.col("window") if isinstance(window, str) else window
-    met = _spread(left).crossJoin(_small(right)).withColumn("best", best_window("text", "pattern", width, o))
+    met = left.crossJoin(_small(right)).withColumn("best", best_window("text", "pattern", width, o))
     found = ["i", "j", F.col("best.location").alias("location"), F.col("best.distance").alias("distance")]
     size = F.octet_length("pattern") if o.use_bytes else F.char_length("pattern")
     used = size if window is None else (F.lit(width) if isinstance(width, int) else width)
@@ -111,7 +126,7 @@ def _one(texts: DataFrame, pattern: str | None, i_col: str, text_col: str, windo
     if not max_dist >= 0:
         raise ValueError("max_dist must be 0 or more")
     left = texts.select(F.col(i_col).alias("i"), F.col(text_col).cast("string").alias("text"))
-    found = _spread(left).withColumn("best", best_window("text", F.lit(pattern).cast("string"), window, o))
+    found = left.withColumn("best", best_window("text", F.lit(pattern).cast("string"), window, o))
     size = window if window is not None else len(pattern.encode() if o.use_bytes else pattern) if pattern is not None else 0
     return found.select("i", F.col("best.distance").alias("distance"), _match(F.col("text"), F.col("best.location"), F.lit(size), o).alias("match"))
 

@@ -51,6 +51,20 @@ def edit(a: str, b: str, weight: tuple = (1, 1, 1, 1), swaps: bool = False, chan
     return f"(list_reduce({steps}, lambda acc, e: {{'before': acc.now, 'now': {row}}}, {start})).now[{of.size(a)} + 1]"
 
 
+def damerau(a: str, b: str, weight: tuple = (1, 1, 1, 1)) -> str:
+    """Weighted Damerau-Levenshtein from b to a: rows of the table are gathered in a list, the last equal letters looked up in the texts."""
+    delete, insert, change, swap = weight
+    letter = lambda s, k: f"substr({s}, {k}, 1)"
+    i, j = "e[1][1]::INT", "f[1]::INT"
+    last_i = f"list_max(list_filter(range(1, {i}), lambda k: {letter(b, 'k::INT')} = {letter(a, j)}))::INT"
+    last_j = f"list_max(list_filter(range(1, {j}), lambda k: {letter(a, 'k::INT')} = {letter(b, i)}))::INT"
+    swapped = f"coalesce(rows[{last_i}][{last_j}] + (({i} - {last_i} - 1) + ({j} - {last_j} - 1) + 1) * {swap}, 1e9)"
+    value = f"CASE WHEN {letter(b, i)} = {letter(a, j)} THEN least(rows[{i}][{j}], {swapped}) ELSE least({swapped}, rows[{i}][{j} + 1] + {delete}, acc[{j}] + {insert}, rows[{i}][{j}] + {change}) END"
+    row = f"list_reduce(list_transform(range(1, length({a}) + 1), lambda y: [y::DOUBLE]), lambda acc, f: list_append(acc, ({value})::DOUBLE), [({i} * {delete})::DOUBLE])"
+    first = f"list_transform(range(0, length({a}) + 1), lambda y: (y * {insert})::DOUBLE)"
+    return f"list_reduce(list_transform(range(1, length({b}) + 1), lambda y: [[y::DOUBLE]]), lambda rows, e: list_append(rows, {row}), [{first}])[-1][-1]"
+
+
 def hamming(a: str, b: str, of=Text) -> str:
     differing = f"coalesce(list_sum(list_transform(range(1, {of.size(a)} + 1), lambda y: CASE WHEN {of.at(a, 'y')} = {of.at(b, 'y')} THEN 0 ELSE 1 END)), 0)"
     return f"CASE WHEN {of.size(a)} <> {of.size(b)} THEN 'Infinity'::DOUBLE ELSE {differing}::DOUBLE END"
@@ -109,3 +123,9 @@ def similarity(d: str, a: str, b: str, method: str, q: int = 1, of=Text) -> str:
         "qgram": f"(CASE WHEN {x} + {y} - {2 * q} + 2 < 0 THEN 1 ELSE {x} + {y} - {2 * q} + 2 END)",
     }.get(method, "1")
     return f"greatest(0, 1 - ({d}) / {most})"
+
+
+def latin(s: str) -> str:
+    """The text with a character for each byte of its UTF-8 form."""
+    hexed = f"hex(encode({s}))"
+    return f"array_to_string(list_transform(range(0, length({hexed}) // 2), lambda y: chr(('0x' || substr({hexed}, y::INT * 2 + 1, 2))::INT)), '')"

@@ -8,7 +8,7 @@ import pytest
 
 from glyphmatch.functions import kernels
 from glyphmatch.functions.encode import from_texts
-from glyphmatch.functions.metrics import codes_of, seq_dist, seq_sim, stringdist, stringsim
+from glyphmatch.functions.metrics import codes_of, seq_dist, seq_sim, text_distance, text_similarity
 from glyphmatch.functions.phonetic import phonetic, printable_ascii
 from glyphmatch.options import METHODS, options
 
@@ -131,12 +131,12 @@ def test_columns_nulls_and_bytes(spark):
     rows = [("Motörhead", "Motorhead"), (None, "a"), ("a", None), ("", "")]
     df = spark.createDataFrame(rows, "a string, b string")
     for method in METHODS:
-        found = [r[0] for r in df.select(stringdist("a", "b", method)).collect()]
+        found = [r[0] for r in df.select(text_distance("a", "b", method)).collect()]
         assert found[1] is None and found[2] is None and found[3] == 0
     expected = {"dl": 2, "osa": 2, "lv": 2, "hamming": INF, "lcs": 3}
     for method, value in expected.items():
-        assert df.select(stringdist("a", "b", method, use_bytes=True)).first()[0] == value
-    assert df.select(stringdist("a", "b", "qgram", q=3, use_bytes=True)).first()[0] == 7
+        assert df.select(text_distance("a", "b", method, use_bytes=True)).first()[0] == value
+    assert df.select(text_distance("a", "b", "qgram", q=3, use_bytes=True)).first()[0] == 7
 
 
 def test_native_and_batch_agree(spark):
@@ -144,7 +144,7 @@ def test_native_and_batch_agree(spark):
     rows = [("".join(rng.choices("abcö😀", k=rng.randint(0, 7))), "".join(rng.choices("abcö😀", k=rng.randint(0, 7)))) for _ in range(200)]
     df = spark.createDataFrame(rows, "a string, b string")
     for method in ("lv", "hamming", "jaccard"):
-        native = [r[0] for r in df.select(stringdist("a", "b", method, q=2)).collect()]
+        native = [r[0] for r in df.select(text_distance("a", "b", method, q=2)).collect()]
         batch = kernels.distances(from_texts([a for a, _ in rows]), from_texts([b for _, b in rows]), options(method, q=2))
         assert native == pytest.approx(batch.tolist())
 
@@ -155,13 +155,13 @@ def test_native_and_batch_agree(spark):
 )
 def test_similarity(spark, method, chars, in_bytes):
     df = spark.createDataFrame([("ao", "aö"), ("bb", "cc"), ("bb", "bb")], "a string, b string")
-    assert [r[0] for r in df.select(stringsim("a", "b", method)).collect()] == pytest.approx([chars, 0, 1])
-    assert df.select(stringsim("a", "b", method, use_bytes=True)).first()[0] == pytest.approx(in_bytes)
+    assert [r[0] for r in df.select(text_similarity("a", "b", method)).collect()] == pytest.approx([chars, 0, 1])
+    assert df.select(text_similarity("a", "b", method, use_bytes=True)).first()[0] == pytest.approx(in_bytes)
 
 
 def test_qgram_similarity_without_room_is_undefined(spark):
     df = spark.createDataFrame([("a", "a")], "a string, b string")
-    assert math.isnan(df.select(stringsim("a", "b", "qgram", q=2)).first()[0])
+    assert math.isnan(df.select(text_similarity("a", "b", "qgram", q=2)).first()[0])
 
 
 def test_phonetic(spark):
@@ -174,7 +174,7 @@ def test_phonetic(spark):
     assert spark.sql("select cast(null as string) s").select(phonetic("s")).first()[0] is None
     pairs = [("", "0000"), ("john", "jan"), ("schoen", "son"), ("r00d", "rt"), ("rhw", "r"), ("sock", "sck")]
     df = spark.createDataFrame(pairs, "a string, b string")
-    assert [r[0] for r in df.select(stringdist("a", "b", "soundex")).collect()] == [0, 0, 0, 0, 0, 1]
+    assert [r[0] for r in df.select(text_distance("a", "b", "soundex")).collect()] == [0, 0, 0, 0, 0, 1]
     with pytest.raises(ValueError):
         phonetic("s", "other")
 
@@ -198,7 +198,7 @@ def test_sequences_equal_strings(spark):
     rows = [([rng.randint(97, 100) for _ in range(rng.randint(0, 6))], [rng.randint(97, 100) for _ in range(rng.randint(0, 6))]) for _ in range(60)]
     df = spark.createDataFrame([(a, b, "".join(map(chr, a)), "".join(map(chr, b))) for a, b in rows], "a array<int>, b array<int>, s string, t string")
     for method in ("osa", "dl", "lcs", "jw", "hamming", "jaccard", "qgram"):
-        got = df.select(seq_dist("a", "b", method).alias("x"), stringdist("s", "t", method).alias("y"), seq_sim("a", "b", method).alias("u"), stringsim("s", "t", method).alias("v")).collect()
+        got = df.select(seq_dist("a", "b", method).alias("x"), text_distance("s", "t", method).alias("y"), seq_sim("a", "b", method).alias("u"), text_similarity("s", "t", method).alias("v")).collect()
         assert [r.x for r in got] == pytest.approx([r.y for r in got]) and [r.u for r in got] == pytest.approx([r.v for r in got], nan_ok=True)
     with pytest.raises(ValueError):
         seq_dist("a", "b", "soundex")

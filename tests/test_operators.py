@@ -6,6 +6,7 @@ import pytest
 
 from glyphmatch.functions import kernels
 from glyphmatch.functions.encode import from_texts
+from glyphmatch.functions.metrics import text_distance
 from glyphmatch.operators import grams, match, pairs, search
 from glyphmatch.options import METHODS, options
 from glyphmatch.sql import register
@@ -16,23 +17,23 @@ def vector(spark, values):
 
 
 def test_matrix(spark):
-    found = pairs.stringdistmatrix(vector(spark, ["aa", "bb", "cc"]), vector(spark, ["aa", "cc"]), method="lv", use_names="strings").collect()
+    found = pairs.distance_matrix(vector(spark, ["aa", "bb", "cc"]), vector(spark, ["aa", "cc"]), method="lv", use_names="strings").collect()
     assert {(r.i, r.j): r.dist for r in found} == {(1, 1): 0, (1, 2): 2, (2, 1): 2, (2, 2): 2, (3, 1): 2, (3, 2): 0}
     assert {(r.label_i, r.label_j) for r in found} >= {("bb", "cc")}
 
 
 def test_lower_triangle(spark):
-    assert pairs.stringdistmatrix(vector(spark, ["a", "b", "c", "d", "e", "f"])).count() == 15
-    found = {(r.i, r.j): r.dist for r in pairs.stringdistmatrix(vector(spark, ["a", None, "b"])).collect()}
+    assert pairs.distance_matrix(vector(spark, ["a", "b", "c", "d", "e", "f"])).count() == 15
+    found = {(r.i, r.j): r.dist for r in pairs.distance_matrix(vector(spark, ["a", None, "b"])).collect()}
     assert found == {(2, 1): None, (3, 1): 1, (3, 2): None}
-    assert pairs.stringdistmatrix(vector(spark, ["a"])).count() == 0
+    assert pairs.distance_matrix(vector(spark, ["a"])).count() == 0
     # From i to j: the third word loses a letter on its way to the first.
-    one = pairs.stringdistmatrix(vector(spark, ["a", "ab"]), method="lv", weight=(0.5, 1, 1)).first()
+    one = pairs.distance_matrix(vector(spark, ["a", "ab"]), method="lv", weight=(0.5, 1, 1)).first()
     assert one.dist == 0.5
 
 
 def test_similarity_matrix_equals_its_transpose(spark):
-    found = {(r.i, r.j): r.sim for r in pairs.stringsimmatrix(vector(spark, ["ca", "abc", "cba"])).collect()}
+    found = {(r.i, r.j): r.sim for r in pairs.similarity_matrix(vector(spark, ["ca", "abc", "cba"])).collect()}
     assert len(found) == 9 and all(found[i, j] == found[j, i] for i, j in found) and found[2, 2] == 1
 
 
@@ -90,10 +91,10 @@ def test_pruning_loses_nothing(spark, method, most, how):
     expected = []
     for w in x:
         if method == "soundex":
-            from glyphmatch.functions.metrics import stringdist
+            from glyphmatch.functions.metrics import text_distance
 
             df = spark.createDataFrame([(t, w) for t in table], "t string, x string")
-            d = [r[0] for r in df.select(stringdist("t", "x", "soundex")).collect()]
+            d = [r[0] for r in df.select(text_distance("t", "x", "soundex")).collect()]
         else:
             d = kernels.distances(from_texts(table), from_texts([w] * len(table)), o).tolist()
         near = [(v, k) for k, v in enumerate(d, 1) if v <= most]
@@ -186,3 +187,44 @@ def test_sql_names(spark):
     register(spark)
     row = spark.sql("select sd_osa('ca', 'abc') o, sd_dl('ca', 'abc') d, sd_jw('a', 'a') j, sd_phonetic('Ashcraft') p, sd_phonetic('Motörhead') m, sd_printable_ascii('ö') a, sd_afind('a gone b', 'gone').location l").first()
     assert tuple(row) == (3, 2, 0, "A261", "M3?6", False, 3)
+
+
+def test_sql_options(spark):
+    register(spark)
+    one = lambda q: spark.sql(f"select {q}").first()[0]
+    assert one("sd_distance('ca', 'abc')") == 3 and one("sd_distance('ca', 'abc', 'dl')") == 2
+    assert one("sd_distance('abcd', 'bcde', method => 'qgram', q => 2)") == 2
+    assert one("sd_distance('ab', 'ba', weight => array(1d, 1d, 1d, 0.5d))") == 0.5
+    assert one("sd_distance('MARTHA', 'MARHTA', 'jw', p => 0.1d)") == pytest.approx(0.0388889)
+    assert one("sd_distance('ö', 'o', 'lv', use_bytes => true)") == 2 and one("sd_distance(null, 'a')") is None
+    assert one("sd_distance('Robert', 'Rupert', 'soundex')") == 0 and one("sd_distance(null, 'a', 'soundex')") is None
+    assert one("sd_similarity('abcd', 'abce')") == 0.75 and one("sd_similarity('ab', 'abc', 'hamming')") == 0
+    assert one("sd_similarity('abcd', 'bcde', 'qgram', q => 2)") == pytest.approx(2 / 3)
+    assert one("sd_amatch('hello', array('hallo', null, 'help'), 2)") == 1 and one("sd_amatch('hello', array('xxxxx'), 2)") is None
+    assert one("sd_amatch(null, array('hallo', null), 2)") == 2
+    assert one("sd_lower_tri(array('a', 'ab', 'abc'), 'lv')") == [1, 2, 1] and one("sd_lower_tri(array('a', null))") == [None]
+    assert one("sd_qgrams('abab', 2)") == {"ab": 2, "ba": 1} and one("sd_qgrams('ab')") == {"a": 1, "b": 1}
+    assert one("sd_phonetic('Motörhead', true)") == "M3?6" and one("sd_lv('ab', 'b')") == 1 and one("sd_soundex('ab', 'ab')") == 0
+    assert one("sd_hamming('abc', 'abd')") == 1 and one("sd_hamming('abc', 'ab')") == float("inf") and one("sd_jaccard('ab', 'bc')") == pytest.approx(2 / 3)
+    assert one("sd_jaccard('', '')") == 0 and one("sd_jaccard(null, '')") is None
+
+
+@pytest.mark.parametrize(("method", "most", "how"), [("jw", 0.2, {"p": 0.1}), ("jw", 0.35, {}), ("jaccard", 0.4, {"q": 2}), ("cosine", 0.25, {"q": 2}), ("qgram", 3, {"q": 2}), ("lv", 6, {}), ("osa", 5, {})])
+def test_no_candidate_is_lost(spark, method, most, how):
+    """Every pair within the distance is among the candidates, and membership agrees with the nearest match."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcde", k=rng.randint(0, 11))) for _ in range(90)]
+    x = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:45])], "id long, x string")
+    t = spark.createDataFrame([(k, t) for k, t in enumerate(texts[45:], 1)], "pos long, t string")
+    every = x.crossJoin(t).select("id", "pos", text_distance("t", "x", method, **how).alias("d")).filter(f"d <= {most} and not isnan(d)").collect()
+    best = {}
+    for r in every:
+        best[r.id] = min(best.get(r.id, (9e9, 0)), (0.0 if abs(r.d) < 1e-14 else r.d, r.pos))
+    found = {r.id: (r.dist, r.match) for r in match.amatch(x, t, max_dist=most, method=method, **how).collect() if r.match is not None}
+    assert found == best
+    assert {r.id for r in match.ain(x, t, max_dist=most, method=method, **how).collect() if r.found} == set(best)
+
+
+def test_search_has_no_shuffle(spark):
+    texts = spark.range(5).selectExpr("id as i", "concat('text ', id) as x")
+    assert "Exchange" not in search.grabl(texts, "text", max_dist=1)._jdf.queryExecution().toString()

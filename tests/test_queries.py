@@ -41,10 +41,10 @@ def test_entry(spark):
 
 def test_streams(spark, tmp_path):
     """Distances are plain expressions, so they work on streams."""
-    from glyphmatch.functions.metrics import stringdist
+    from glyphmatch.functions.metrics import text_distance
 
     spark.createDataFrame([("abc", "abd"), ("a", "b")], "a string, b string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("a string, b string").parquet(str(tmp_path / "in")).select(stringdist("a", "b", "osa").alias("d"))
+    stream = spark.readStream.schema("a string, b string").parquet(str(tmp_path / "in")).select(text_distance("a", "b", "osa").alias("d"))
     query = stream.writeStream.format("memory").queryName("distances").start()
     query.processAllAvailable()
     query.stop()
