@@ -2,16 +2,18 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmatch.llm import bpe, common, components, fingerprint, induced, line_dedup, minhash, packing, quality, suffix, toxicity, url_filter, warc
+from glyphmatch.llm import bpe, common, components, fingerprint, induced, line_dedup, minhash, packing, quality, queries, suffix, toxicity, url_filter, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -580,3 +582,105 @@ def test_quality_tells_junk_from_prose(spark):
     assert {d: kept for d, (kept,) in found.items()} == good
     kept = quality.accepted(table(spark, [*rows, (None, None, "", "", 0)]))
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, g in good.items() if g} and kept.columns == table(spark, []).columns
+
+
+# ---- models and digests beside plain loops ----
+
+
+def test_digest_by_brute_force():
+    """Counts, quartiles, length step and likeness of the digest with whole numbers of Python."""
+    rng = random.Random(21)
+    mask, triplets = (1 << 32) - 1, ((0, 3, 11), (0, 5, 13), (0, 7, 17), (0, 2, 19), (0, 9, 21), (0, 11, 23))
+    factors = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)
+
+    def slow(raw):
+        counts, padded = [0] * 256, raw + bytes(23)
+        for at in range(len(raw)):
+            for (i, j, k), f in zip(triplets, factors):
+                key = (padded[at + i] | padded[at + j] << 8 | padded[at + k] << 16) * f & mask
+                counts[(key ^ key >> 15) * (f ^ 0x5BD1E994) % (1 << 32) >> 24] += 1
+        cuts = [sorted(counts)[k] for k in (63, 127, 191)]
+        steps = [sum(c > cut for cut in cuts) for c in counts]
+        length = min(255, round(np.log(len(raw) + 1) / np.log(1.1)))
+        return f"{length:02x}" + bytes(steps[k] | steps[k + 1] << 2 | steps[k + 2] << 4 | steps[k + 3] << 6 for k in range(0, 256, 4)).hex(), steps, length
+
+    raws = [b"", b"x", "öä".encode() * 9, *(bytes(rng.choices(b"etaoin shrdlu", k=rng.randint(30, 900))) for _ in range(12))]
+    made = [slow(raw) for raw in raws]
+    assert [fingerprint.digest(raw) for raw in raws] == [d for d, *_ in made]
+    cost = lambda x, y: 6 if abs(x - y) == 3 else abs(x - y)
+    for a, x, n in made:
+        for b, y, m in made:
+            unrelated = sum(cost(p, q) for p in x for q in y) / 256
+            apart = sum(map(cost, x, y)) + max(0, abs(n - m) - 1)
+            assert fingerprint.likeness(a, b) == pytest.approx(1 if a == b else max(0, 1 - apart / unrelated) if unrelated else 0)
+
+
+def test_expectation_maximisation_by_document():
+    """The posterior from patterns equals one that goes document by document, and finds the classes that votes were made from."""
+    rng = random.Random(22)
+    truth = [rng.random() < 0.6 for _ in range(400)]
+    right = (0.95, 0.9, 0.9, 0.85)
+    votes = [tuple(0 if rng.random() < 0.3 else (1 if t else 2) if rng.random() < r else (2 if t else 1) for r in right) for t in truth]
+    found, share, table = quality.estimate(sorted(Counter(votes).items()))
+    by_pattern = {p: q for (p, _), q in zip(sorted(Counter(votes).items()), found)}
+    post = []
+    for v in votes:
+        good, bad = v.count(1), v.count(2)
+        post.append(0.99 if not bad else 0.02 if bad >= 2 else good / (good + 6))
+    for _ in range(200):
+        prior = [(sum(1 - q for q in post) + 1) / (len(post) + 2), (sum(post) + 1) / (len(post) + 2)]
+        chance = [[[0.0] * 3 for _ in right] for _ in (0, 1)]
+        for c in (0, 1):
+            for r in range(len(right)):
+                for vote in range(3):
+                    chance[c][r][vote] = sum((q if c else 1 - q) for v, q in zip(votes, post) if v[r] == vote) + 1 + (vote == 2 - c)
+                whole = sum(chance[c][r])
+                chance[c][r] = [x / whole for x in chance[c][r]]
+        new = []
+        for v in votes:
+            weight = [prior[c] * np.prod([chance[c][r][v[r]] for r in range(len(right))]) for c in (0, 1)]
+            new.append(weight[1] / sum(weight))
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-9
+        post = new
+        if done:
+            break
+    assert [by_pattern[v] for v in votes] == pytest.approx(post, abs=1e-5)
+    assert np.mean([(by_pattern[v] > 0.5) == t for v, t in zip(votes, truth)]) > 0.85
+    assert share[1] == pytest.approx(np.mean(post), abs=0.02) and table.shape == (2, 4, 3)
+
+
+def test_convolution_by_loops():
+    """Embeddings, filters of each width at each place, pooling over places, the output: a score by plain loops."""
+    rng = random.Random(23)
+    bad = ["vile thing", "awful person", "nasty lot"]
+    texts = [words_of(rng, rng.randint(1, 30)) + (" " + rng.choice(bad) if k % 2 else "") for k in range(60)]
+    model = toxicity.train(texts, np.array([k % 2 for k in range(60)]))
+    for text in [*texts[:6], "", "one", "vile thing", "A, b!"]:
+        words = [toxicity.plain(w) for w in text.encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()]
+        vectors = []
+        for w in words:
+            parts = [w, *(b"<%d" % n + w[:n] for n in (3, 4, 5, 6) if n < len(w)), *(b">%d" % n + w[-n:] for n in (3, 4) if n < len(w))]
+            vectors.append(np.mean([model.embeddings[zlib.crc32(x) % toxicity.BUCKETS] for x in parts], 0))
+        vectors += [np.zeros(toxicity.SIZE)] * (2 if words else 3)
+        pooled, column = [], 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                at = lambda place: sum(vectors[place + j] @ model.filters[:, column + j * toxicity.FILTERS + f] for j in range(width))  # noqa: E731, B023
+                pooled.append(max(at(place) for place in range(max(1, len(words)))))
+            column += width * toxicity.FILTERS
+        z = sum(max(0.0, x + b) * o for x, b, o in zip(pooled, model.bias, model.out)) + model.out_bias
+        assert toxicity.Scorer(model).score([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_beside_sql(spark, name):
+    """What SQL can express, over the smallest tables; whole tables at sf0.01 are compared by the driver."""
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    expected = con.sql(queries.ORACLE_SQL[name])
+    columns = sorted(expected.columns)
+    rows = sorted((tuple(r[expected.columns.index(c)] for c in columns) for r in expected.fetchall()), key=str)
+    assert sorted((tuple(r) for r in queries.QUERIES[name](spark, folder).select(*columns).collect()), key=str) == rows
