@@ -120,6 +120,9 @@ class Store:
     def delete(self, name: str) -> None:
         self.fs.delete_file(self.path(name))
 
+    def rename(self, name: str, to: str) -> None:
+        self.fs.move(self.path(name), self.path(to))
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -168,10 +171,16 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         store = Store(self.path)
-        files = [] if self.overwrite else _manifest(store)
+        before = _manifest(store)
+        files = [] if self.overwrite else before[:]
         files += [{"name": m.name, "splits": m.splits, "records": m.records} for m in messages if m is not None]
-        with store.write(_MANIFEST) as out:
+        # Whole under another name first: a reader finds the old manifest or the new one.
+        with store.write(f"{_MANIFEST}.new") as out:
             out.write(json.dumps(files).encode())
+        store.rename(f"{_MANIFEST}.new", _MANIFEST)
+        for old in before if self.overwrite else ():
+            store.delete(old["name"])
+            store.delete(f"{old['name']}.idx")
 
     def abort(self, messages: list) -> None:
         store = Store(self.path)

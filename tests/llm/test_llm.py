@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import os
 import random
 import re
@@ -128,6 +129,11 @@ def test_warc_round_trip(spark, tmp_path):
     none = warc.with_revisits(pages.limit(0))
     none.write.format("warc").mode("append").save(str(tmp_path / "none"))
     assert spark.read.format("warc").load(str(tmp_path / "none")).count() == 0
+    for mode, records in (("append", 14), ("overwrite", 7)):
+        warc.with_revisits(pages).write.format("warc").mode(mode).save(str(tmp_path))
+        assert spark.read.format("warc").load(str(tmp_path)).count() == records
+    named = {x["name"] for x in json.loads((tmp_path / warc._MANIFEST).read_text())}
+    assert {f.name for f in tmp_path.glob("part-*.gz")} == named
     large = warc.with_revisits(pages, least_bytes=5).filter("record_type = 'revisit'")
     assert large.count() == 2
 
