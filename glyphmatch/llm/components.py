@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: Edges that a task of the star steps writes at most.
+EDGES = 100_000
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node long, component long) for every node in a link; the component is its smallest node.
 
@@ -24,20 +28,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == before or not now[0]:
             break
         before = now
-        edges = stored(_small_star(stored(_large_star(edges), "large")), "small")
+        parts = -(-now[0] // EDGES)  # steps don't add edges; few need few tasks
+        edges = stored(_small_star(stored(_large_star(edges, parts).coalesce(parts), "large"), parts).coalesce(parts), "small")
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(edges.select("lo", "lo").distinct())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Every larger neighbour of a node is linked with the node's smallest neighbour (or itself)."""
     both = edges.select(F.col("lo").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u"), "least")
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u").coalesce(parts), "least")
     return edges.join(least, edges.lo == least.u, "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked with the smallest of them."""
-    least = stored(edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "least")
+    least = stored(edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")).coalesce(parts), "least")
     several = least.filter("n > 1").select(F.col("hi").alias("u"), "m")
     rest = edges.join(several, edges.hi == several.u).filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return rest.union(least.select("hi", F.col("m").alias("lo"))).distinct()
@@ -46,7 +51,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 #: Buckets of at most so many are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 #: Further rounds of stars before what is left is compared in full.
-ROUNDS = 4
+ROUNDS = 2
 #: Pairs between components, as a multiple of the members, from which a further round of stars pays.
 WORTH = 8
 
