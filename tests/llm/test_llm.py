@@ -192,6 +192,21 @@ def test_lines_by_brute_force(spark, corpus):
     assert {(r.n_lines, r.n_removed) for r in again.collect()} == {(-1, -2)}
 
 
+def test_line_bands_meet_near_lines_and_few_others():
+    rows, bands = line_dedup.ROWS, line_dedup.BANDS
+    assert (1 - 0.8**rows) ** bands <= 2e-4
+    assert bands * 0.1**rows <= 2e-3  # lines that share a tenth rarely meet; those that do by chance grow with the square of the lines
+
+
+def test_line_dedup_leaves_few_tables(spark, corpus):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    line_dedup.deduplicated(table(spark, corpus[:40])).count()
+    left = {x.split("-", 1)[1].rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if x.startswith("glyphmatch-")}
+    assert not left & {"buckets", "several", "met", "shared", "line-texts", "line-sketches", "placed", "mixed"}
+    assert "removed" in left
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.deduplicated(table(spark, [])).count() == 0
     found = line_dedup.deduplicated(table(spark, [(1, None, "", "", 0), (None, "a b", "", "", 0), (None, "a b", "", "", 0), (2, "\n\n", "", "", 0)])).collect()
