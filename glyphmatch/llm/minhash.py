@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of `width` words (ASCII letters low
 sequence). Documents with equal sets form a class at once. Class representatives get `rows * bands` minima of universal
 hashes; those that agree in all rows of a band share a bucket. Pairs are checked in two passes: first everyone in a bucket against its
 smallest member, by one-bit signatures; then, between the components found so far, all pairs of a bucket by sketches of `SKETCH` further minima, made only
-for the documents that are left. Each pair is confirmed on the full sets. A link at the threshold is missed by all bands with a probability of
+for the documents that are left. Each pair is confirmed on the full sets, in buckets of over LARGE members within the join that makes the pairs. A link at the threshold is missed by all bands with a probability of
 (1 - threshold ** rows) ** bands: 3e-7 at 0.85, 6e-5 at 0.80, less above; a sketch beyond SIGMAS standard deviations drops another 3e-7.
 
 Null and empty texts have no shingles, are linked with nothing and kept. Ids should be unique; rows with a
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, sliced, stored, without
+from .common import fresh, sliced, stored, unstored, without
 from .components import connected_components, crossing_pairs, linked_members, shared_buckets
 
 BANDS, ROWS = 32, 6
@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 6
 SKETCH = 1024
 #: So many standard deviations may a pair's signature or sketch lie beyond what the threshold lets expect.
 SIGMAS = 5.0
+#: Members of a bucket from which on full sets are compared where its pairs are made.
+LARGE = 64
 #: Ids of at most so many documents (16 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Word hashes that a worker remembers before it starts anew; workers keep them only while a task runs.
@@ -180,7 +182,7 @@ def _sketches(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     spark = pairs.sparkSession
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = stored(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "ids")
     sets = stored(_of_documents(docs, ids, "set", "binary", lambda text: shingle_set(text, width).tobytes(), id_col, text_col), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +268,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     def crossing(members: DataFrame) -> DataFrame:
         left = stored(members.select("id").distinct(), "left")
         sketches = stored(_sketches(docs, left, width, id_col, text_col).join(classes.select("id", "n", "keys"), "id"), "sketches")
-        sketched = members.join(sketches.select("id", "n", "keys", "sketch", *_planes("sketch", SKETCH // 256, 4, SKETCH // 64)), "id")
-        return confirmed(stored(crossing_pairs(sketched, nearer), "crossing"), docs, width, percent, id_col, text_col)
+        sketches = sketches.select("id", "n", "keys", "sketch", *_planes("sketch", SKETCH // 256, 4, SKETCH // 64))
+        large = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("bucket"), "large-buckets")
+        if not large.limit(1).count():
+            return confirmed(stored(crossing_pairs(members.join(sketches, "id"), nearer), "crossing"), docs, width, percent, id_col, text_col)
+        few = large.count() <= MOST_BROADCAST
+        large = F.broadcast(large) if few else large
+        pairs = stored(crossing_pairs(members.join(large, "bucket", "left_anti").join(sketches, "id"), nearer), "crossing")
+        links = confirmed(pairs, docs, width, percent, id_col, text_col)
+        hot = stored(members.join(large, "bucket", "left_semi"), "large-members")
+        ids = stored(hot.select("id").distinct(), "large-ids")
+        sets = stored(_of_documents(docs, ids, "set", "array<long>", lambda text: shingle_set(text, width).view(np.int64), id_col, text_col), "large-sets")
+
+        def linked(x: str, y: str) -> Column:
+            """Full sets are compared within the join, which so makes links only, however many pairs lie near the threshold."""
+            both = F.size(F.array_intersect(side(x)("set"), side(y)("set")))
+            alike = (100 + percent) * both >= percent * (side(x)("n") + side(y)("n"))
+            return F.when(nearer(x, y), alike).otherwise(F.lit(False))
+
+        within = stored(crossing_pairs(hot.join(sketches, "id").join(sets, "id"), linked), "large-links")
+        unstored(hot, ids, sets)
+        return links.union(within)
 
     links = linked_members(shared, starred, crossing)
     joined = classes.select("key", "id").join(connected_components(links).select(F.col("node").alias("id"), "component"), "id", "left")

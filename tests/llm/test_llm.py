@@ -207,6 +207,39 @@ def test_line_dedup_leaves_few_tables(spark, corpus):
     assert "removed" in left
 
 
+def test_near_duplicates_of_a_family_below_the_threshold(spark, monkeypatch):
+    """Nearly all pairs of large buckets lie just below the threshold: no rows for them, and the same result as brute force."""
+    rng = random.Random(5)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for k in range(110):
+        edited = list(base)
+        for at in rng.sample(range(300), 5):
+            edited[at] = f"x{k}_{at}"
+        texts.append(" ".join(edited))
+    texts.append(texts[40] + " more")
+    docs, seen, before = table(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)]), [], minhash.confirmed
+
+    def confirmed(pairs, *rest):
+        seen.append(pairs.count())
+        return before(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "confirmed", confirmed)
+    found = by_id(minhash.near_duplicates(docs), "component_id")
+    sets, parent, below = [set(minhash.shingle_set(t, 3).tolist()) for t in texts], list(range(len(texts))), 0
+    find = roots(parent)
+    for x in range(len(texts)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            union = len(sets[x]) + len(sets[y]) - both
+            below += 80 * union <= 100 * both < 85 * union
+            if 100 * both >= 85 * union:
+                low, high = sorted((find(x), find(y)))
+                parent[high] = low
+    assert found == {k: (find(k),) for k in range(len(texts))}
+    assert find(110) == find(40) and below > 3000
+    assert 3 * seen[-1] < below, (seen, below)  # the pass after the stars
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.deduplicated(table(spark, [])).count() == 0
     found = line_dedup.deduplicated(table(spark, [(1, None, "", "", 0), (None, "a b", "", "", 0), (None, "a b", "", "", 0), (2, "\n\n", "", "", 0)])).collect()
