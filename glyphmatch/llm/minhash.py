@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, sliced, stored, unstored, without
-from .components import connected_components, crossing_pairs, linked_members, shared_buckets
+from .components import by_families, connected_components, crossing_pairs, in_blocks, linked_members, shared_buckets
 
 BANDS, ROWS = 32, 6
 #: Minima of the second pass, of each of which four bits are compared.
@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         large = F.broadcast(large) if few else large
         pairs = stored(crossing_pairs(members.join(large, "bucket", "left_anti").join(sketches, "id"), nearer), "crossing")
         links = confirmed(pairs, docs, width, percent, id_col, text_col)
-        hot = stored(members.join(large, "bucket", "left_semi"), "large-members")
+        given = stored(members.join(large, "bucket", "left_semi").select("band", "bucket", "id", "component"), "large-members")
+        hot = by_families(given)
         ids = stored(hot.select("id").distinct(), "large-ids")
         sets = stored(_of_documents(docs, ids, "set", "array<long>", lambda text: shingle_set(text, width).view(np.int64), id_col, text_col), "large-sets")
 
@@ -286,8 +287,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
             alike = (100 + percent) * both >= percent * (side(x)("n") + side(y)("n"))
             return F.when(nearer(x, y), alike).otherwise(F.lit(False))
 
-        within = stored(crossing_pairs(hot.join(sketches, "id").join(sets, "id"), linked), "large-links")
-        unstored(hot, ids, sets)
+        size = hot.join(classes.select("id", "n"), "id").agg(F.sum(8 * F.col("n") + 1024)).first()[0]
+        sides = in_blocks(hot.join(sketches, "id").join(sets, "id"), size)
+        within = stored(crossing_pairs(sides, linked), "large-links")
+        unstored(given, hot, ids, sets, sides)
         return links.union(within)
 
     links = linked_members(shared, starred, crossing)

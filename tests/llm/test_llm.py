@@ -207,6 +207,41 @@ def test_line_dedup_leaves_few_tables(spark, corpus):
     assert "removed" in left
 
 
+def test_families_list_members_once_and_lose_no_pair(spark, monkeypatch):
+    """Twenty buckets of the same members become one; buckets that overlap little stay; blocks hold each pair once, and no key a whole bucket."""
+    monkeypatch.setattr(components, "BLOCK", 10)
+    rng = random.Random(3)
+    rows = {(b, m) for b in range(1000, 1020) for m in rng.sample(range(60), 55)} | {(2000 + k, m) for k in range(8) for m in range(100 + 9 * k, 110 + 9 * k)}
+    members = spark.createDataFrame([(b, m, m, 1) for b, m in sorted(rows)], "bucket long, id long, component long, band int")
+    found = components.by_families(members)
+    listed = defaultdict(set)
+    for r in found.collect():
+        listed[r.bucket].add(r.id)
+    assert found.columns == members.columns and sum(map(len, listed.values())) == 60 + 80
+    pairs_in = lambda by: {(x, y) for ids in by.values() for x in ids for y in ids if x > y}
+    before = defaultdict(set)
+    for b, m in rows:
+        before[b].add(m)
+    assert pairs_in(before) <= pairs_in(listed)
+    blocks = components.in_blocks(found, 1000)
+    assert blocks.groupBy("bucket").count().agg(F.max("count")).first()[0] < 45
+    met = components.crossing_pairs(blocks, lambda x, y: F.lit(True)).collect()
+    assert sorted((r.a, r.b) for r in met) == sorted(pairs_in(listed))
+
+
+def test_few_links_need_one_task_a_step(spark, monkeypatch):
+    plans, before = [], components.stored
+
+    def stored(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return before(df, name)
+
+    monkeypatch.setattr(components, "stored", stored)
+    found = components.connected_components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")).collect()
+    assert {(r.node, r.component) for r in found} == {(k, 0) for k in range(41)}
+    assert [name for name, plan in plans if name != "links" and "Exchange" in plan.replace("BroadcastExchange", "")] == []
+
+
 def test_near_duplicates_of_a_family_below_the_threshold(spark, monkeypatch):
     """Nearly all pairs of large buckets lie just below the threshold: no rows for them, and the same result as brute force."""
     rng = random.Random(5)
