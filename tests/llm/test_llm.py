@@ -275,6 +275,25 @@ def test_near_duplicates_of_a_family_below_the_threshold(spark, monkeypatch):
     assert 3 * seen[-1] < below, (seen, below)  # the pass after the stars
 
 
+def test_line_buckets_are_shuffled_once(spark, monkeypatch):
+    """Rows of bands are by far the most rows: they are dealt once, by a bucket and one hash, however many buckets there are."""
+    plans, before = {}, line_dedup.stored
+
+    def stored(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return before(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)
+    rng = random.Random(8)
+    texts = ["\n".join(words_of(rng, 12) for _ in range(4)) for _ in range(6)]
+    rows = [(k, t, "", "", 0) for k, t in enumerate([*texts, texts[2] + " x", texts[4]])]
+    found = by_id(line_dedup.deduplicated(table(spark, rows)), "n_lines", "n_removed")
+    assert found == {**{k: (4, 0) for k in range(6)}, 6: (4, 4), 7: (4, 4)}
+    assert plans["met"].count("Exchange hashpartitioning") == 1
+    assert "several" not in plans
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.deduplicated(table(spark, [])).count() == 0
     found = line_dedup.deduplicated(table(spark, [(1, None, "", "", 0), (None, "a b", "", "", 0), (None, "a b", "", "", 0), (2, "\n\n", "", "", 0)])).collect()
