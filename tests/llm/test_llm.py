@@ -294,6 +294,26 @@ def test_line_buckets_are_shuffled_once(spark, monkeypatch):
     assert "several" not in plans
 
 
+def test_lines_are_shuffled_in_slices(spark, monkeypatch):
+    """No write shuffles all texts of lines or all rows of bands; slices together hold each row once and lines meet across them."""
+    rows, before = defaultdict(list), line_dedup.stored
+
+    def stored(df, name):
+        found = before(df, name)
+        if name in ("buckets", "met"):
+            rows[name].append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    rng = random.Random(9)
+    texts = ["\n".join(words_of(rng, 12) for _ in range(4)) for _ in range(20)]
+    given = [(k, t, "", "", 0) for k, t in enumerate([*texts, *(t + " x" for t in texts)])]
+    found = by_id(line_dedup.deduplicated(table(spark, given)), "n_lines", "n_removed")
+    assert found == {k: (4, 4 * (k >= 20)) for k in range(40)}
+    assert len(rows["buckets"]) > 1 and max(rows["buckets"]) < 0.75 * sum(rows["buckets"]), rows
+    assert len(rows["met"]) > 2 and max(rows["met"]) < 0.5 * sum(rows["met"]), rows
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.deduplicated(table(spark, [])).count() == 0
     found = line_dedup.deduplicated(table(spark, [(1, None, "", "", 0), (None, "a b", "", "", 0), (None, "a b", "", "", 0), (2, "\n\n", "", "", 0)])).collect()
