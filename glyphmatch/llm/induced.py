@@ -1,9 +1,9 @@
-"""Suffix arrays by induced sorting (SA-IS), in whole-bucket numpy steps where buckets are large.
+"""Suffix arrays by induced sorting, in whole-bucket numpy steps where buckets are large.
 
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour; leftmost smaller ones (LMS) cut the text into
-substrings, which are sorted by one round of inducing and named; the string of names is sorted recursively; a
-second round of inducing from the sorted LMS suffixes gives the array. A bucket's entries are scanned at once:
-those that they induce into the bucket itself form the next front. Where names are many and buckets small,
+substrings, which are sorted by words of several letters and named; the string of names, whose letters are many and whose buckets are small, is sorted
+recursively by triples (skew), in steps over whole arrays; a round of inducing from the sorted LMS suffixes gives the array. A bucket's entries are scanned at once:
+those that they induce into the bucket itself form the next front. Where a text is short for its letters,
 plain loops do the same scan. The recursion ends where all names of a level are distinct.
 """
 
@@ -25,19 +25,8 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     smaller = _smaller(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     induce = _induce_buckets if n >= _LARGE_BUCKET * sigma else _induce_loop
-    order = induce(text, smaller, lms[np.argsort(text[lms], kind="stable")], sigma)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = order[is_lms[order]]
-    number = np.zeros(n, np.int32)
-    number[lms] = np.arange(len(lms), dtype=np.int32)
-    at = number[order]
-    names = _names(text, lms, order, at)
-    if names[-1] + 1 < len(order):
-        reduced = np.empty(len(lms), np.int32)
-        reduced[at] = names
-        order = lms[suffix_array(reduced, int(names[-1]) + 1)]
-    return induce(text, smaller, order, sigma)
+    names = _names(text, lms, sigma)
+    return induce(text, smaller, lms[_by_triples(names)], sigma)
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -51,20 +40,98 @@ def _smaller(text: np.ndarray) -> np.ndarray:
     return found
 
 
-def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ranks of the LMS substrings in their sorted order; equal ones share a rank. at: each one's number in the text."""
-    ends = np.append(lms[1:], len(text) - 1)
-    sizes = (ends - lms)[at]
-    same = sizes[1:] == sizes[:-1]
-    active = np.flatnonzero(same)
-    k = 0
+def _names(text: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """Ranks of the LMS substrings; equal ones share a rank. Where one begins another, the longer one has an L suffix where the shorter one ends, so it is the smaller."""
+    bits = sigma.bit_length()
+    each = 64 // bits  # letters of a word; past a substring's end it is filled with a letter beyond all
+    sizes = np.append(lms[1:], len(text) - 1) - lms + 1
+    last = len(text) - 1
+
+    def word(which: np.ndarray, at: int) -> np.ndarray:
+        begins, left = lms[which], sizes[which] - at
+        found = np.zeros(len(which), np.uint64)
+        for k in range(each):
+            letters = text[np.minimum(begins + (at + k), last)].astype(np.uint64)
+            letters[left <= k] = sigma
+            found = found << np.uint64(bits) | letters
+        return found
+
+    rank = np.zeros(len(lms), np.int64)  # how many are smaller
+    active, at = np.arange(len(lms)), 0
     while len(active):
-        equal = text[order[active] + k] == text[order[active + 1] + k]
-        same[active[~equal]] = False
-        active = active[equal]
-        active = active[sizes[active] > k]
-        k += 1
-    return np.append(0, np.cumsum(~same))
+        keys = word(active, at)
+        order = keys.argsort(kind="stable")
+        if at:
+            order = order[rank[active[order]].argsort(kind="stable")]
+        active, keys = active[order], keys[order]
+        group = rank[active]
+        first = np.append(True, group[1:] != group[:-1])
+        new = first | np.append(True, keys[1:] != keys[:-1])
+        place = np.arange(len(active))
+        begin = np.maximum.accumulate(np.where(first, place, 0))
+        rank[active] = group + np.maximum.accumulate(np.where(new, place, 0)) - begin
+        alone = new & np.append(new[1:], True)
+        at += each
+        active = active[~alone & (sizes[active] > at)]
+    return _dense(rank, len(rank))
+
+
+def _dense(ranks: np.ndarray, below: int) -> np.ndarray:
+    """Numbers below `below` by their place among those that occur."""
+    there = np.zeros(below, bool)
+    there[ranks] = True
+    return (np.cumsum(there) - 1)[ranks]
+
+
+def _packed(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit key a row, ordered as the columns in turn; where bits don't suffice, what is packed so far is replaced by its ranks."""
+    found, used = columns[0].astype(np.uint64), int(columns[0].max()).bit_length()
+    for column in columns[1:]:
+        bits = int(column.max()).bit_length()
+        if used + bits > 64:
+            different, found = np.unique(found, return_inverse=True)
+            found, used = found.astype(np.uint64), (len(different) - 1).bit_length()
+        found = found << np.uint64(bits) | column.astype(np.uint64)
+        used += bits
+    return found
+
+
+def _by_triples(text: np.ndarray) -> np.ndarray:
+    """The suffix array of numbers from 0 whose last one occurs once.
+
+    Suffixes at places 1 and 2 of every three are sorted by recursion on the names of their triples; the others by a letter and the next one's rank;
+    both are merged by letters and ranks. Places past the end count as 0, all letters as more.
+    """
+    n = len(text)
+    if int(text.max()) + 1 == n:  # all differ
+        return np.argsort(text)
+    letters = np.concatenate((text.astype(np.int64) + 1, np.zeros(3, np.int64)))
+    ones, twos = np.arange(1, n, 3), np.arange(2, n, 3)
+    sample = np.concatenate((ones, twos))
+    keys = _packed([letters[sample], letters[sample + 1], letters[sample + 2]])
+    order = keys.argsort()
+    keys = keys[order]
+    names = np.empty(len(sample), np.int64)
+    names[order] = np.append(0, np.cumsum(keys[1:] != keys[:-1]))
+    # The triples that reach the last letter differ from all others, so no comparison runs from the first part into the second.
+    sorted_ = sample[_by_triples(names)]
+    rank = np.zeros(n + 3, np.int64)
+    rank[sorted_] = np.arange(1, len(sorted_) + 1)
+    zeros = np.arange(0, n, 3)
+    zeros = zeros[_packed([letters[zeros], rank[zeros + 1]]).argsort()]
+    second = sorted_ % 3 == 2
+    ones, twos = sorted_[~second], sorted_[second]
+    place = np.arange(len(zeros))
+    for others, depth in ((ones, 1), (twos, 2)):
+        if len(others):
+            both = np.concatenate((others, zeros))
+            keys = _packed([*(letters[both + k] for k in range(depth)), rank[both + depth]])
+            place += np.searchsorted(keys[: len(others)], keys[len(others) :])
+    array, free = np.empty(n, np.int64), np.ones(n, bool)
+    array[place] = zeros
+    free[place] = False
+    array[free] = sorted_
+    return array
 
 
 def _induce_buckets(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -159,14 +226,17 @@ def _induce_loop(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma:
     return np.array(array, np.int32)
 
 
-def common_prefixes(raw: np.ndarray, array: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(raw: np.ndarray, array: np.ndarray, wanted: np.ndarray, most: int, known: np.ndarray | None = None) -> np.ndarray:
     """Permuted common prefixes: for each wanted position how many letters, up to `most`, it shares with the wanted position before it in the array.
 
-    raw: bytes. Others get 0. Wanted positions must have `most` bytes after them.
+    raw: bytes. Others get 0, and so do those that are known where the one before them is known as well. Wanted positions must have `most` bytes after them.
     """
     found = np.zeros(len(raw), np.int32)
     order = array[wanted[array]]
     here, other = order[1:], order[:-1]
+    if known is not None:
+        asked = ~(known[here] & known[other])
+        here, other = here[asked], other[asked]
     padded = np.append(raw, np.zeros(8, np.uint8))
     words = np.ndarray((len(raw),), "<u8", padded, 0, (1,))
     k = 0

@@ -153,6 +153,29 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return edges.astype(np.int32)
 
 
+def _begun_alike(raw: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Places whose window is known to repeat from a region's first window alone: where it shares more than a window with the one before it in the order,
+    so do the windows after both, letter by letter less (the common prefixes' rule)."""
+    before = np.full(len(raw), -1, np.int64)
+    before[order[1:]] = order[:-1]
+    here = begins[before[begins] >= 0]
+    other = before[here]
+    end = lambda at: ends[np.searchsorted(ends, at)]
+    upto = np.minimum(end(here) - here, end(other) - other)
+    words = np.ndarray((len(raw),), "<u8", np.append(raw, np.zeros(8, np.uint8)), 0, (1,))
+    shared, active, k = np.zeros(len(here), np.int64), np.arange(len(here)), 0
+    while len(active := active[upto[active] >= k + 8]):
+        active = active[words[here[active] + k] == words[other[active] + k]]
+        k += 8
+        shared[active] = k
+    enough = shared >= width
+    here, other, n = here[enough], other[enough], shared[enough] - width + 1
+    edges = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edges, np.concatenate((here, other)), 1)
+    np.add.at(edges, np.concatenate((here + n, other + n)), -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
 def repeated_windows(raws: list[bytes], sizes: list[int], width: int) -> list[np.ndarray]:
     """For each region which of its windows also start elsewhere in these regions, by suffix array and common prefixes."""
     joined = b"".join(x + b"\0" for x in raws)  # a separator after each; no window reaches over one
@@ -165,10 +188,10 @@ def repeated_windows(raws: list[bytes], sizes: list[int], width: int) -> list[np
     wanted = np.zeros(len(raw), bool)
     for b, n in zip(begins.tolist(), sizes):
         wanted[b : b + n] = True
-    prefix = common_prefixes(raw, array, wanted, width)
     order = array[wanted[array]]
+    hit = _begun_alike(raw, order, begins, ends - 1, width)
+    prefix = common_prefixes(raw, array, wanted, width, hit)
     as_before = prefix[order] >= width
-    hit = np.zeros(len(raw), bool)
     hit[order[as_before]] = True
     hit[order[:-1][as_before[1:]]] = True
     return [hit[b : b + n] for b, n in zip(begins.tolist(), sizes)]

@@ -501,6 +501,39 @@ def test_suffix_array_of_long_text():
     assert (induced.suffix_array(text, 256) == order).all()
 
 
+def test_names_are_sorted_without_plain_loops(monkeypatch):
+    """A long text with copies has many names at the second level: none of its levels goes suffix by suffix."""
+
+    def slow(*_):
+        raise AssertionError("a plain loop over suffixes")
+
+    monkeypatch.setattr(induced, "_induce_loop", slow)
+    rng = random.Random(6)
+    part = bytes(rng.choices(b"abcdefghij ", k=6_000))
+    raw = part + b"!" + part + bytes(rng.choices(b"ab", k=500)) + b"a" * 300 + part[:3_000]
+    text = np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + 1, 0)
+    assert induced.suffix_array(text, 258)[1:].tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
+def test_keys_of_many_bits():
+    rng = np.random.default_rng(7)
+    columns = [rng.choice([0, 5, 1 << 29, 1 << 30], 400) for _ in range(4)]
+    rows = list(zip(*(c.tolist() for c in columns)))
+    key = induced._packed(columns)
+    assert [rows[k] for k in key.argsort(kind="stable")] == sorted(rows) and len(np.unique(key)) == len(set(rows))
+
+
+def test_windows_that_regions_begin_alike():
+    """Copies, regions that share a beginning only, and regions whose inner parts repeat, beside brute force."""
+    rng = random.Random(3)
+    for width in (8, 20):
+        bits = [bytes(rng.choices(b"abc", k=rng.randint(width, 3 * width))) for _ in range(12)]
+        raws = [*bits, *bits[:5], *(x + b"zz" for x in bits[3:7]), *(b"y" + x[:-1] for x in bits[5:9] if len(x) > width), *(x[2:] + b"q" * width for x in bits[9:])]
+        counts = Counter(x[i : i + width] for x in raws for i in range(len(x) - width + 1))
+        found = suffix.repeated_windows(raws, [len(x) - width + 1 for x in raws], width)
+        assert [h.tolist() for h in found] == [[counts[x[i : i + width]] > 1 for i in range(len(x) - width + 1)] for x in raws]
+
+
 def test_common_prefixes():
     rng = random.Random(2)
     raw = bytes(rng.choice(b"ab") for _ in range(400)) + b"ab" * 100
