@@ -12,7 +12,10 @@ each; an empty table gives no rows; columns besides those named aren't read.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,20 @@ LONGEST_REMEMBERED = 256
 #: Letters before this one are in composed form and have lower-case letters of one character, or are told by isalpha().
 _LATIN_END = "\u0180"
 _MARKS = frozenset(".,;:!?")
+#: A character beyond those, or the one of them whose lower-case form has two characters.
+_OTHER = re.compile(f"[^\0-{chr(ord(_LATIN_END) - 1)}]|\u0130")
 _TOKENIZERS: dict = {}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class _Words(dict):
-    """Word between spaces -> its ids as little-endian uint32 bytes."""
+    """Word between spaces or line ends -> its ids as little-endian uint32 bytes."""
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
@@ -55,10 +67,11 @@ class _Words(dict):
                 if low != word:
                     ids = self[low]
                 else:
-                    ids = np.array([t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.mapped))], "<u4").tobytes()
+                    letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.mapped)
+                    ids = _bytes([t.id for t in self.model.tokenize(letters)])
                 self[word] = ids
                 return ids
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= LONGEST_REMEMBERED:
             self[word] = ids
         return ids
@@ -66,6 +79,10 @@ class _Words(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
+        # A line end is white space as a space is; a word at it would else be remembered with the next line's first.
+        text = text.replace("\n", " ")
+        if "<|" not in text and not _OTHER.search(text):
+            text = text.lower()  # as the tokenizer does; words that begin sentences are remembered once
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 

@@ -666,6 +666,24 @@ def test_packed_documents(spark, corpus):
     assert packing.packed_documents(table(spark, []), path).count() == 0
 
 
+def test_words_are_remembered_once(monkeypatch):
+    """Line ends, capitals and what follows them give the tokenizer's ids, and no words of their own."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    reference, words = tokenizers.Tokenizer.from_file(path), packing._Words(open(path, "rb").read())
+    rng = random.Random(12)
+    letters = list("abcXYZ\u00c9\u00e9\u00df\u0178\u017f\u0130\u01c5\u0301\u03a3") + [" ", "\n", "\n\n", "\r\n", " \n", "\t", "\x85", "\u2028", "'S", "'ll", "\n'T", "I.", "9", "<|ENDOFTEXT|>", "<|endoftext|>", "<|", "|>", ".\n"]
+    for few in (4, 12, len(letters)):
+        for _ in range(1500):
+            text = "".join(rng.choices(rng.sample(letters, few), k=rng.randint(0, 24)))
+            assert np.frombuffer(words.encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
+    words.clear()
+    lines = [f"{a}.\n{b} {a}" for a in ("one", "One", "two", "Two") for b in ("three", "Three", "four", "Four")]
+    for line in lines:
+        assert np.frombuffer(words.encode(line), "<u4").tolist() == reference.encode(line, add_special_tokens=False).ids
+    assert set(words) == {"one.", "two.", "three", "four", "one", "two", "."}
+
+
 # ---- 9: fingerprints ----
 
 
