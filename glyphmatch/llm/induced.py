@@ -5,38 +5,56 @@ substrings, which are sorted by words of several letters and named; the string o
 recursively by triples (skew), in steps over whole arrays; a round of inducing from the sorted LMS suffixes gives the array. A bucket's entries are scanned at once:
 those that they induce into the bucket itself form the next front. Where a text is short for its letters,
 plain loops do the same scan. The recursion ends where all names of a level are distinct.
+
+Places and ranks are 32-bit numbers, and what numpy would widen or copy for a whole text (indices, words) is made in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: A whole-bucket step pays from about so many suffixes a bucket on.
 _LARGE_BUCKET = 16
+#: Places that are looked at together where each needs several wide numbers.
+BLOCK = 1 << 18
 _ZERO = np.zeros(1, np.int64)
 
 
+def blocks(n: int) -> Iterator[slice]:
+    """Slices that cover n places, one block after the other."""
+    for at in range(0, n, BLOCK):
+        yield slice(at, min(n, at + BLOCK))
+
+
+def those(places: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """The places that are flagged, in order."""
+    return np.concatenate([part[flags[part]] for part in (places[b] for b in blocks(len(places)))] or [places])
+
+
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     """The suffix array of a text of numbers below sigma that ends with its only 0."""
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32)
-    text = text.astype(np.uint16 if sigma <= 1 << 16 else np.int32)
+    text = text.astype(np.uint16 if sigma <= 1 << 16 else np.int32, copy=False)
     smaller = _smaller(text)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     induce = _induce_buckets if n >= _LARGE_BUCKET * sigma else _induce_loop
-    names = _names(text, lms, sigma)
-    return induce(text, smaller, lms[_by_triples(names)], sigma)
+    return induce(text, smaller, lms[_by_triples(_names(text, lms, sigma))], sigma)
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last one is S."""
     n = len(text)
     found = np.ones(n, bool)
-    less, differs = text[:-1] < text[1:], text[:-1] != text[1:]
-    following = np.where(differs, np.arange(n - 1), n - 1)
-    following = np.minimum.accumulate(following[::-1])[::-1]
-    found[:-1] = np.append(less, True)[following]
+    for b in reversed(list(blocks(n - 1))):
+        here, after = text[b], text[b.start + 1 : b.stop + 1]
+        less, size = here < after, len(here)
+        following = np.where(here != after, np.arange(size), size)
+        following = np.minimum.accumulate(following[::-1])[::-1]
+        found[b] = np.append(less, found[b.stop])[following]
     return found
 
 
@@ -44,32 +62,37 @@ def _names(text: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """Ranks of the LMS substrings; equal ones share a rank. Where one begins another, the longer one has an L suffix where the shorter one ends, so it is the smaller."""
     bits = sigma.bit_length()
     each = 64 // bits  # letters of a word; past a substring's end it is filled with a letter beyond all
-    sizes = np.append(lms[1:], len(text) - 1) - lms + 1
     last = len(text) - 1
+    sizes = np.append(lms[1:], np.int32(last)) - lms + 1
 
     def word(which: np.ndarray, at: int) -> np.ndarray:
-        begins, left = lms[which], sizes[which] - at
         found = np.zeros(len(which), np.uint64)
-        for k in range(each):
-            letters = text[np.minimum(begins + (at + k), last)].astype(np.uint64)
-            letters[left <= k] = sigma
-            found = found << np.uint64(bits) | letters
+        for b in blocks(len(which)):
+            begins, left, part = lms[which[b]], sizes[which[b]] - at, found[b]
+            for k in range(each):
+                letters = text[np.minimum(begins + (at + k), last)].astype(np.uint64)
+                letters[left <= k] = sigma
+                part <<= np.uint64(bits)
+                part |= letters
         return found
 
-    rank = np.zeros(len(lms), np.int64)  # how many are smaller
-    active, at = np.arange(len(lms)), 0
+    rank = np.zeros(len(lms), np.int32)  # how many are smaller
+    active, at = np.arange(len(lms), dtype=np.int32), 0
     while len(active):
         keys = word(active, at)
         order = keys.argsort(kind="stable")
         if at:
             order = order[rank[active[order]].argsort(kind="stable")]
         active, keys = active[order], keys[order]
+        del order
         group = rank[active]
         first = np.append(True, group[1:] != group[:-1])
         new = first | np.append(True, keys[1:] != keys[:-1])
-        place = np.arange(len(active))
-        begin = np.maximum.accumulate(np.where(first, place, 0))
-        rank[active] = group + np.maximum.accumulate(np.where(new, place, 0)) - begin
+        del keys
+        place = np.arange(len(active), dtype=np.int32)
+        group -= np.maximum.accumulate(np.where(first, place, np.int32(0)))
+        group += np.maximum.accumulate(np.where(new, place, np.int32(0)))
+        rank[active] = group
         alone = new & np.append(new[1:], True)
         at += each
         active = active[~alone & (sizes[active] > at)]
@@ -80,7 +103,7 @@ def _dense(ranks: np.ndarray, below: int) -> np.ndarray:
     """Numbers below `below` by their place among those that occur."""
     there = np.zeros(below, bool)
     there[ranks] = True
-    return (np.cumsum(there) - 1)[ranks]
+    return (np.cumsum(there, dtype=np.int32) - np.int32(1))[ranks]
 
 
 def _packed(columns: list[np.ndarray]) -> np.ndarray:
@@ -91,7 +114,8 @@ def _packed(columns: list[np.ndarray]) -> np.ndarray:
         if used + bits > 64:
             different, found = np.unique(found, return_inverse=True)
             found, used = found.astype(np.uint64), (len(different) - 1).bit_length()
-        found = found << np.uint64(bits) | column.astype(np.uint64)
+        found <<= np.uint64(bits)
+        np.bitwise_or(found, column, out=found, dtype=np.uint64, casting="unsafe")
         used += bits
     return found
 
@@ -104,21 +128,19 @@ def _by_triples(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     if int(text.max()) + 1 == n:  # all differ
-        return np.argsort(text)
-    letters = np.concatenate((text.astype(np.int64) + 1, np.zeros(3, np.int64)))
-    ones, twos = np.arange(1, n, 3), np.arange(2, n, 3)
-    sample = np.concatenate((ones, twos))
-    keys = _packed([letters[sample], letters[sample + 1], letters[sample + 2]])
-    order = keys.argsort()
-    keys = keys[order]
-    names = np.empty(len(sample), np.int64)
-    names[order] = np.append(0, np.cumsum(keys[1:] != keys[:-1]))
+        return np.argsort(text).astype(np.int32)
+    letters = np.zeros(n + 3, np.int32)
+    letters[:n] = text
+    letters[:n] += 1
+    del text
     # The triples that reach the last letter differ from all others, so no comparison runs from the first part into the second.
-    sorted_ = sample[_by_triples(names)]
-    rank = np.zeros(n + 3, np.int64)
-    rank[sorted_] = np.arange(1, len(sorted_) + 1)
-    zeros = np.arange(0, n, 3)
-    zeros = zeros[_packed([letters[zeros], rank[zeros + 1]]).argsort()]
+    sorted_ = _by_triples(_triples(letters))
+    ones = (n + 1) // 3
+    sorted_ = np.where(sorted_ < ones, 3 * sorted_ + 1, 3 * (sorted_ - ones) + 2)
+    rank = np.zeros(n + 3, np.int32)
+    rank[sorted_] = np.arange(1, len(sorted_) + 1, dtype=np.int32)
+    zeros = np.arange(0, n, 3, dtype=np.int32)
+    zeros = zeros[_packed([letters[:n:3], rank[1 : n + 1 : 3]]).argsort()]
     second = sorted_ % 3 == 2
     ones, twos = sorted_[~second], sorted_[second]
     place = np.arange(len(zeros))
@@ -127,13 +149,24 @@ def _by_triples(text: np.ndarray) -> np.ndarray:
             both = np.concatenate((others, zeros))
             keys = _packed([*(letters[both + k] for k in range(depth)), rank[both + depth]])
             place += np.searchsorted(keys[: len(others)], keys[len(others) :])
-    array, free = np.empty(n, np.int64), np.ones(n, bool)
+    array, free = np.empty(n, np.int32), np.ones(n, bool)
     array[place] = zeros
     free[place] = False
     array[free] = sorted_
     return array
 
 
+def _triples(letters: np.ndarray) -> np.ndarray:
+    """Ranks, from 0, of the triples at places 1 and then 2 of every three of a text that three zeros follow; equal ones share a rank."""
+    n = len(letters) - 3
+    keys = _packed([np.concatenate((letters[1 + k : n + k : 3], letters[2 + k : n + k : 3])) for k in range(3)])
+    order = keys.argsort()
+    keys = keys[order]
+    names = np.empty(len(keys), np.int32)
+    names[order] = np.append(np.int32(0), np.cumsum(keys[1:] != keys[:-1], dtype=np.int32))
+    return names
+
+
 def _induce_buckets(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     n = len(text)
     ends = np.cumsum(np.bincount(text, minlength=sigma))
@@ -232,29 +265,30 @@ def common_prefixes(raw: np.ndarray, array: np.ndarray, wanted: np.ndarray, most
     raw: bytes. Others get 0, and so do those that are known where the one before them is known as well. Wanted positions must have `most` bytes after them.
     """
     found = np.zeros(len(raw), np.int32)
-    order = array[wanted[array]]
-    here, other = order[1:], order[:-1]
-    if known is not None:
-        asked = ~(known[here] & known[other])
-        here, other = here[asked], other[asked]
+    order = those(array, wanted)
     padded = np.append(raw, np.zeros(8, np.uint8))
     words = np.ndarray((len(raw),), "<u8", padded, 0, (1,))
-    k = 0
-    while len(here) and k + 8 <= most:
-        equal = words[here + k] == words[other + k]
-        if not equal.all():
-            lost, lost_other = here[~equal], other[~equal]
-            same, size = np.ones(len(lost), bool), np.full(len(lost), k, np.int32)
-            for b in range(7):
-                same &= padded[lost + k + b] == padded[lost_other + k + b]
-                size += same
-            found[lost] = size
+    for b in blocks(len(order) - 1):
+        here, other = order[b.start + 1 : b.stop + 1], order[b]
+        if known is not None:
+            asked = ~(known[here] & known[other])
+            here, other = here[asked], other[asked]
+        k = 0
+        while len(here) and k + 8 <= most:
+            equal = words[here + k] == words[other + k]
+            if not equal.all():
+                lost, lost_other = here[~equal], other[~equal]
+                same, size = np.ones(len(lost), bool), np.full(len(lost), k, np.int32)
+                for byte in range(7):
+                    same &= padded[lost + k + byte] == padded[lost_other + k + byte]
+                    size += same
+                found[lost] = size
+                here, other = here[equal], other[equal]
+            k += 8
+        while len(here) and k < most:
+            equal = padded[here + k] == padded[other + k]
+            found[here[~equal]] = k
             here, other = here[equal], other[equal]
-        k += 8
-    while len(here) and k < most:
-        equal = padded[here + k] == padded[other + k]
-        found[here[~equal]] = k
-        here, other = here[equal], other[equal]
-        k += 1
-    found[here] = most
+            k += 1
+        found[here] = most
     return found

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import field_ddl, sliced, stored
-from .induced import common_prefixes, suffix_array
+from .induced import blocks, common_prefixes, suffix_array, those
 
 WIDTH = 200
 #: Bytes of a shard's text from which the next anchor begins another one.
@@ -156,10 +156,11 @@ def _runs(flags: np.ndarray) -> np.ndarray:
 def _begun_alike(raw: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     """Places whose window is known to repeat from a region's first window alone: where it shares more than a window with the one before it in the order,
     so do the windows after both, letter by letter less (the common prefixes' rule)."""
-    before = np.full(len(raw), -1, np.int64)
-    before[order[1:]] = order[:-1]
-    here = begins[before[begins] >= 0]
-    other = before[here]
+    first = np.zeros(len(raw), bool)
+    first[begins] = True
+    first[order[:1]] = False  # none is before it
+    at = np.concatenate([np.flatnonzero(first[order[b]]) + b.start for b in blocks(len(order))])
+    here, other = order[at].astype(np.int64), order[at - 1].astype(np.int64)
     end = lambda at: ends[np.searchsorted(ends, at)]
     upto = np.minimum(end(here) - here, end(other) - other)
     words = np.ndarray((len(raw),), "<u8", np.append(raw, np.zeros(8, np.uint8)), 0, (1,))
@@ -173,7 +174,7 @@ def _begun_alike(raw: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: n
     edges = np.zeros(len(raw) + 1, np.int32)
     np.add.at(edges, np.concatenate((here, other)), 1)
     np.add.at(edges, np.concatenate((here + n, other + n)), -1)
-    return np.cumsum(edges[:-1]) > 0
+    return np.cumsum(edges[:-1], out=edges[:-1]) > 0
 
 
 def repeated_windows(raws: list[bytes], sizes: list[int], width: int) -> list[np.ndarray]:
@@ -182,16 +183,19 @@ def repeated_windows(raws: list[bytes], sizes: list[int], width: int) -> list[np
     raw = np.frombuffer(joined, np.uint8)
     ends = np.cumsum([len(x) + 1 for x in raws])
     begins = ends - [len(x) + 1 for x in raws]
-    text = raw.astype(np.uint16) + 2
+    text = np.zeros(len(raw) + 1, np.uint16)
+    text[:-1] = raw
+    text[:-1] += 2
     text[ends - 1] = 1
-    array = suffix_array(np.append(text, np.uint16(0)), 258)[1:]
+    array = suffix_array(text, 258)[1:]
+    del text
     wanted = np.zeros(len(raw), bool)
     for b, n in zip(begins.tolist(), sizes):
         wanted[b : b + n] = True
-    order = array[wanted[array]]
+    order = those(array, wanted)
     hit = _begun_alike(raw, order, begins, ends - 1, width)
     prefix = common_prefixes(raw, array, wanted, width, hit)
-    as_before = prefix[order] >= width
+    as_before = np.concatenate([prefix[order[b]] >= width for b in blocks(len(order))])
     hit[order[as_before]] = True
     hit[order[:-1][as_before[1:]]] = True
     return [hit[b : b + n] for b, n in zip(begins.tolist(), sizes)]

@@ -6,6 +6,7 @@ import json
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -547,6 +548,34 @@ def test_common_prefixes():
         assert found[i] == n
 
 
+def test_windows_in_small_blocks(monkeypatch):
+    """Blocks change nothing: neither an array nor which windows repeat, also where runs of one letter cross them."""
+    rng = random.Random(11)
+    bits = [bytes(rng.choices(b"ab", k=rng.randint(20, 60))) for _ in range(9)] + [b"a" * 70, b"b" * 45 + b"a" * 30]
+    raws = [*bits, *bits[2:6], *(x[3:] + b"c" * 20 for x in bits[:4])]
+    text = np.append(np.frombuffer(b"-".join(raws), np.uint8).astype(np.uint16), 0)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(induced, "BLOCK", block)
+        assert induced.suffix_array(text, 258).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        counts = Counter(x[i : i + 20] for x in raws for i in range(len(x) - 19))
+        found = suffix.repeated_windows(raws, [len(x) - 19 for x in raws], 20)
+        assert [h.tolist() for h in found] == [[counts[x[i : i + 20]] > 1 for i in range(len(x) - 19)] for x in raws]
+
+
+def test_shards_take_little_memory():
+    """Two workers sort shards beside an executor's heap: what a shard takes is a small multiple of its text."""
+    rng = random.Random(12)
+    raws = [words_of(rng, 70).encode() for _ in range(6_000)]
+    raws += raws[:2_000]
+    size = sum(map(len, raws))
+    tracemalloc.start()
+    try:
+        suffix.repeated_windows(raws, [len(x) - 199 for x in raws], 200)
+        assert tracemalloc.get_traced_memory()[1] < 30 * size
+    finally:
+        tracemalloc.stop()
+
+
 def brute_repeats(texts, width):
     counts = Counter(x[i : i + width] for x in texts.values() for i in range(len(x) - width + 1))
     found = {}
