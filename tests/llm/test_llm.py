@@ -315,6 +315,24 @@ def test_lines_are_shuffled_in_slices(spark, monkeypatch):
     assert len(rows["met"]) > 2 and max(rows["met"]) < 0.5 * sum(rows["met"]), rows
 
 
+def test_shingles_are_looked_up_in_one_table(spark, monkeypatch):
+    """The aggregations of shingles have far more groups than the small table of compiled code holds: they go without it, the session as before."""
+    name, seen, before = "spark.sql.codegen.aggregate.map.twolevel.enabled", defaultdict(set), line_dedup.stored
+
+    def stored(df, table):
+        seen[table].add(spark.conf.get(name, None))
+        return before(df, table)
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    own = spark.conf.get(name, None)
+    rng = random.Random(10)
+    texts = ["\n".join(words_of(rng, 12) for _ in range(4)) for _ in range(4)]
+    found = by_id(line_dedup.deduplicated(table(spark, [(k, t, "", "", 0) for k, t in enumerate([*texts, texts[1] + " x"])])), "n_lines", "n_removed")
+    assert found == {**{k: (4, 0) for k in range(4)}, 4: (4, 4)}
+    assert all(seen[x] == {"false"} for x in ("buckets", "line-sketches", "line-links")), seen
+    assert seen["line-texts"] == {own} == {spark.conf.get(name, None)}
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.deduplicated(table(spark, [])).count() == 0
     found = line_dedup.deduplicated(table(spark, [(1, None, "", "", 0), (None, "a b", "", "", 0), (None, "a b", "", "", 0), (2, "\n\n", "", "", 0)])).collect()
